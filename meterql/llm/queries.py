@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterql.llm import quality_rules, simhash
+from meterql.llm import decontaminate, quality_rules, sentencepiece_fst, simhash
 from meterql.llm.common import read
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and what they decode to."""
+    return sentencepiece_fst.encode(read(spark, sf_dir, "documents"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words and items of every document."""
+    return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The judged ledger of all documents, failure bits and measurements included."""
     return quality_rules.judge(quality_rules.ledger(read(spark, sf_dir, "documents")))
@@ -22,6 +32,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
+        "op2_decontaminate": op2_decontaminate,
         "op8_quality_rules": op8_quality_rules,
         "op10_simhash": op10_simhash,
     }
@@ -29,5 +41,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontaminate": decontaminate.contamination_sql(),
         "op8_quality_rules": quality_rules.ledger_sql(),
     }
