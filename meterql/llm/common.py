@@ -18,6 +18,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    shared_checkpoints(spark)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def shared_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable: the session's own folder, else (tests) a local one."""
     sc = spark.sparkContext

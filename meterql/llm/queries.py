@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterql.llm import decontaminate, quality_rules, sentencepiece_fst, simhash
+from meterql.llm import decontaminate, quality_rules, secrets, sentencepiece_fst, simhash
 from meterql.llm.common import read
 
 
@@ -20,6 +20,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in every document."""
+    return secrets.findings(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The judged ledger of all documents, failure bits and measurements included."""
     return quality_rules.judge(quality_rules.ledger(read(spark, sf_dir, "documents")))
@@ -34,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_decontaminate": op2_decontaminate,
+        "op7_secrets": op7_secrets,
         "op8_quality_rules": op8_quality_rules,
         "op10_simhash": op10_simhash,
     }

@@ -115,12 +115,13 @@ def features(value: str, left: str, right: str, path: str | None) -> list[float]
         longest = max(longest, run)
     near, where = left.lower(), (path or "").lower()
     tail = near.rstrip(" \"'")
+    beside = set(re.findall("[a-z]+\\d?", near)) | set(re.findall("[a-z]+\\d?", right.lower()))
     return [
         float(n), -sum(p * math.log2(p) for p in counts), *(kinds.count(k) / n for k in range(4)),
         sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), sum(known) / len(known) if known else -8.0,
         sum(len(m[0]) for m in _DICTIONARY.finditer(low)) / n, float(all(c in "0123456789abcdef-" for c in low)), float(longest), len(counts) / n,
-        float(any(w in near for w in NAMES)), float(any(w in near or w in right.lower() for w in BENIGN)), float(tail.endswith(("=", ":", "=>"))),
-        float(left[-1:] in ("'", '"') and right[:1] == left[-1:]), float(any(w in where for w in PATHS)), float(any(w in low for w in PLACEHOLDERS)),
+        float(any(w in near if len(w) > 5 else w in beside for w in NAMES)), float(not beside.isdisjoint(BENIGN)), float(tail.endswith(("=", ":", "=>"))),
+        float(left[-1:] in ("'", '"') and right[:1] == left[-1:]), float(any(w in where for w in PATHS)), max((len(w) for w in PLACEHOLDERS if w in low), default=0) / n,
         float(value.startswith(PREFIXES)), float(value.isdigit()),
     ]
 

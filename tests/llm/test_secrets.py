@@ -1,0 +1,43 @@
+import random
+
+import numpy as np
+
+from meterql.llm import secrets as sec
+from tests.llm.helpers import docs
+
+HEX = "".join(random.Random(4).choice("0123456789abcdef") for _ in range(40))
+LEAK = f'some words token = "{HEX}" and more'
+KEY = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow\nabc=\n-----END RSA PRIVATE KEY-----"
+
+
+def test_held_out_accuracy():
+    held = sec.labelled_findings(1000, seed=1234)
+    scores = sec.default_forest().predict(np.array([sec.features(f.value, f.left, f.right, f.path) for f in held]))
+    assert np.mean((scores >= 0.5) == np.array([f.label for f in held])) > 0.97
+
+
+def test_what_is_found_and_what_is_not():
+    texts = [LEAK, f"fixed in commit {HEX} yesterday", "password = your_password_here", "card 4605175688511253", KEY, None, "", "x" * 100_000 + LEAK]
+    found = sec.scan(texts, [None] * len(texts), sec.default_forest())
+    kept = [[x[:2] for x in own if x[3] >= 0.5] for own in found]
+    at = LEAK.index(HEX)
+    assert kept == [[(at, at + 40)], [], [], [], [(0, len(KEY))], [], [], [(100_000 + at, 100_040 + at)]]
+
+
+def test_candidates_merge():
+    assert [x[:2] for x in sec.candidates(f"token={HEX}==")] == [(6, 48)]
+
+
+def test_rows_and_redaction(spark):
+    frame = docs(spark, [LEAK, None, "", "clean text", LEAK + "\n" + LEAK, LEAK], [0, 1, 2, 3, 4, 0], ["findings", "__x"])
+    rows = {(r.doc_id, r.n_secrets) for r in sec.findings(frame).collect()}
+    assert rows == {(0, 1), (1, 0), (2, 0), (3, 0), (4, 2)}
+    out = sec.redact(frame)
+    assert out.columns == frame.columns and out.schema["n_chars"].dataType == frame.schema["n_chars"].dataType
+    by_id = {r.doc_id: r for r in out.collect()}
+    assert by_id[0].text == LEAK.replace(HEX, sec.MASK) and by_id[0].n_chars == len(by_id[0].text)
+    assert by_id[1].text is None and by_id[1].n_chars is None and by_id[3].text == "clean text" and by_id[4].text.count(sec.MASK) == 2
+
+
+def test_empty_table(spark):
+    assert sec.findings(docs(spark, [])).collect() == [] and sec.redact(docs(spark, [])).collect() == []
