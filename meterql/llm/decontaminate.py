@@ -3,9 +3,8 @@ r"""Benchmark decontamination with an FM-index per training shard.
 Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z. A window is
 `window` consecutive words of a benchmark item, or the whole of a shorter one.
 The words of a shard of documents become symbols of the benchmark's alphabet;
-a word the benchmark does not use ends a run, as does a document's end, and a
-run shorter than the shortest window cannot hold one. The shard's runs are
-indexed, all windows are searched backwards through the wavelet tree's ranks,
+a word the benchmark does not use ends a run, as does a document's end. The
+shard's runs are indexed, all windows are searched backwards through the wavelet tree's ranks,
 occurrences are located by sampled suffix positions, and overlapping ones merge
 into removal spans.
 
@@ -64,16 +63,13 @@ def compile_block(items: list[tuple[str | None, str | None]], window: int = WIND
 
 def _search(ids: np.ndarray, block: dict, shard_words: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
     """(starts, length, number of items each, items) of all occurrences in a stream of symbols."""
-    shortest, longest = block["tables"][0][0].shape[1], block["tables"][-1][0].shape[1]
+    longest = block["tables"][-1][0].shape[1]
     for at in range(0, len(ids), shard_words):
         part = ids[at : at + shard_words + longest - 1]
         part = np.concatenate([part, np.zeros(1, part.dtype)])
-        ends = np.flatnonzero(part == 0)
-        sizes = np.diff(ends, prepend=-1)  # of runs, with their ends
-        keep = np.repeat(sizes > shortest, sizes)
-        if not keep.any():
+        source = np.flatnonzero((part != 0) | (np.concatenate([[0], part[:-1]]) != 0))  # runs, each with one end
+        if not len(source):
             continue
-        source = np.flatnonzero(keep)
         index = FMIndex(part[source], len(block["symbols"]))
         for phrases, item_ends, items in block["tables"]:
             rows, places = index.find(phrases)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterql.llm import decontaminate, quality_rules, secrets, sentencepiece_fst, simhash
+from meterql.llm import decontaminate, quality_rules, secrets, sentencepiece_fst, simhash, substring_dedup
 from meterql.llm.common import read
 
 
@@ -20,6 +20,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document."""
+    return substring_dedup.repeats(read(spark, sf_dir, "documents")).drop("factors")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in every document."""
     return secrets.findings(read(spark, sf_dir, "documents"))
@@ -39,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_decontaminate": op2_decontaminate,
+        "op5_substring_dedup": op5_substring_dedup,
         "op7_secrets": op7_secrets,
         "op8_quality_rules": op8_quality_rules,
         "op10_simhash": op10_simhash,
@@ -48,5 +54,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.contamination_sql(),
+        "op5_substring_dedup": substring_dedup.repeats_sql(),
         "op8_quality_rules": quality_rules.ledger_sql(),
     }
