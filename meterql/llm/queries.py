@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterql.llm import decontaminate, quality_rules, secrets, sentencepiece_fst, simhash, substring_dedup
+from meterql.llm import decontaminate, ppm, quality_rules, secrets, sentencepiece_fst, simhash, substring_dedup
 from meterql.llm.common import read
 
 
@@ -20,6 +20,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document."""
+    return ppm.scores(read(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document."""
     return substring_dedup.repeats(read(spark, sf_dir, "documents")).drop("factors")
@@ -44,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_decontaminate": op2_decontaminate,
+        "op4_ppm": op4_ppm,
         "op5_substring_dedup": op5_substring_dedup,
         "op7_secrets": op7_secrets,
         "op8_quality_rules": op8_quality_rules,
