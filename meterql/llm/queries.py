@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterql.llm import decontaminate, ppm, quality_rules, secrets, sentencepiece_fst, simhash, substring_dedup
+from meterql.llm import decontaminate, ppm, quality_mil, quality_rules, secrets, sentencepiece_fst, simhash, substring_dedup
 from meterql.llm.common import read
 
 
@@ -20,6 +20,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return quality_mil.scores(docs, quality_mil.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model score of every document."""
     return ppm.scores(read(spark, sf_dir, "documents"))
@@ -49,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_decontaminate": op2_decontaminate,
+        "op3_quality_mil": op3_quality_mil,
         "op4_ppm": op4_ppm,
         "op5_substring_dedup": op5_substring_dedup,
         "op7_secrets": op7_secrets,
