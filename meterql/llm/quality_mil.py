@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from meterql.llm.common import ASCII_SPACE, crc_mod, utf8
 
 PASSAGE, BUCKETS, HIDDEN, ATTENTION = 64, 32, 16, 8
-MAX_DOCUMENTS, MAX_PASSAGES, STEPS, RATE, DECAY = 3000, 48, 300, 0.02, 1e-4
+MAX_DOCUMENTS, MAX_PASSAGES, STEPS, RATE, DECAY = 3000, 24, 200, 0.02, 1e-4
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER, THRESHOLD = 5, 0, 0.3
 CHARS_AT_ONCE = 1 << 22
 

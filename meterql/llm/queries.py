@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterql.llm import decontaminate, ppm, quality_mil, quality_rules, secrets, sentencepiece_fst, simhash, substring_dedup
+from meterql.llm import decontaminate, html_tree, ppm, quality_mil, quality_rules, secrets, sentencepiece_fst, simhash, substring_dedup
 from meterql.llm.common import read
 
 
@@ -36,6 +36,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(read(spark, sf_dir, "documents")).drop("factors")
 
 
+def op6_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_tree.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in every document."""
     return secrets.findings(read(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_mil": op3_quality_mil,
         "op4_ppm": op4_ppm,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_html_tree": op6_html_tree,
         "op7_secrets": op7_secrets,
         "op8_quality_rules": op8_quality_rules,
         "op10_simhash": op10_simhash,
