@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterql.llm import decontaminate, html_tree, ppm, quality_mil, quality_rules, secrets, sentencepiece_fst, simhash, substring_dedup
+from meterql.llm import decontaminate, html_tree, licenses, ppm, quality_mil, quality_rules, secrets, sentencepiece_fst, simhash, substring_dedup
 from meterql.llm.common import read
 
 
@@ -51,6 +51,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(quality_rules.ledger(read(spark, sf_dir, "documents")))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences stated in every document."""
+    return licenses.findings(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html_tree": op6_html_tree,
         "op7_secrets": op7_secrets,
         "op8_quality_rules": op8_quality_rules,
+        "op9_licenses": op9_licenses,
         "op10_simhash": op10_simhash,
     }
 
