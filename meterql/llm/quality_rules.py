@@ -86,7 +86,9 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
     }
     # Plain columns, not one struct: fields of a struct would be inlined and computed again by each rule.
     out = out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.expr(f"cast({v} as bigint)").alias(f"__q_{k}") for k, v in measures.items()])
-    return out.withColumn("__q_bits", _bits())
+    # The row number adds nothing; it keeps filters on the bits above this projection. Below it they would
+    # have to repeat every measurement's expression, each inside the next.
+    return out.withColumn("__q_bits", _bits().bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit(0))))
 
 
 def _bits() -> Column:
@@ -146,12 +148,13 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_
            FROM {source}),
 win AS (SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
 rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
+adj AS (SELECT r, count(*) AS n FROM (SELECT r, x, lag(x) OVER (PARTITION BY r ORDER BY i) AS before FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d)) WHERE x = before GROUP BY r),
 cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM rep) GROUP BY r),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
              CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS n_upper,
-             CAST(len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS BIGINT) AS n_adjacent
-      FROM d LEFT JOIN cov USING (r)),
+             CAST(coalesce(adj.n, 0) AS BIGINT) AS n_adjacent
+      FROM d LEFT JOIN cov USING (r) LEFT JOIN adj USING (r)),
 b AS (SELECT *, CAST({bits} AS BIGINT) AS failed_bits FROM m)
 SELECT *, (failed_bits & {BASE_MASK}) <> 0 AS base_failed, (failed_bits & {BASE_MASK | POLICIES[policy]}) = 0 AS kept FROM b"""
