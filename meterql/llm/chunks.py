@@ -1,14 +1,14 @@
 """Documents packed into compressed chunks, for operators that pass over whole texts more than once.
 
-A chunk's name is drawn when it is written to the shared folder, so every later
-pass, a repeated task's too, meets the same documents under the same name. What
+A chunk's number is drawn at random when it is written to the shared folder, so every later
+pass, a repeated task's too, meets the same documents under the same number. What
 chunks ask of the whole corpus they ask once each, by hash block, whatever the
 number of documents that ask it.
 """
 
 from __future__ import annotations
 
-import uuid
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +41,7 @@ def packed(rows: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             data = _pack(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["chunk", "chars", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(63)], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["chunk", "chars", "data"])
 
         for part in parts:
             lengths = np.array([len(x) if x is not None else 0 for x in part.column(1).to_pylist()], np.int64)
@@ -58,7 +58,7 @@ def packed(rows: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
         if held:
             yield flush()
 
-    return cut(rows.mapInArrow(run, "chunk string, chars long, data binary"))
+    return cut(rows.mapInArrow(run, "chunk long, chars long, data binary"))
 
 
 def n_blocks(chunks: DataFrame, block_words: int = BLOCK_WORDS) -> int:

@@ -251,8 +251,8 @@ def word_answers(chunks: DataFrame, blocks: int) -> DataFrame:
         return pd.DataFrame({"chunk": part["chunk"], "block": part["block"], "counts": [sums[back[e - len(v) : e]].astype(kind).tobytes() for v, e in zip(values, ends)],
                              "wide": kind is np.int64, "n_tokens": np.where(first, sums.sum(), 0), "n_words": np.where(first, (sums > 0).sum(), 0)})
 
-    sent = chunks.select("chunk", "data").mapInPandas(send, "chunk string, block long, words binary, n binary")
-    return cut(sent.groupBy("block").applyInPandas(answer, "chunk string, block long, counts binary, wide boolean, n_tokens long, n_words long"))
+    sent = chunks.select("chunk", "data").mapInPandas(send, "chunk long, block long, words binary, n binary")
+    return cut(sent.groupBy("block").applyInPandas(answer, "chunk long, block long, counts binary, wide boolean, n_tokens long, n_words long"))
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = HELD_OUT_MODULUS, remainder: int = HELD_OUT_REMAINDER,

@@ -33,19 +33,18 @@ read; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterql.llm.common import cut, utf8
+from meterql.llm.chunks import BLOCK_WORDS, CHUNK_CHARS, n_blocks, packed, unpack
+from meterql.llm.common import utf8
 
-WIDTH, CHUNK_CHARS, BLOCK_WORDS = 35, 6_000_000, 1_000_000
+WIDTH = 35
 #: Odd multipliers of two independent rolling hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
@@ -124,58 +123,18 @@ class Phrases:
             yield words, [(int(a), int(b)) for a, b in edges.reshape(-1, 2)]
 
 
-def _pack(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(data: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(data).read_all().to_pandas()
-
-
-def _chunks(slim: DataFrame, chunk_chars: int) -> DataFrame:
-    """(chunk, chars, data): rows packed to about chunk_chars characters; a name is drawn once, as the rows are then written."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            data = _pack(pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["chunk", "chars", "data"])
-
-        for part in parts:
-            lengths = np.array([len(x) if x is not None else 0 for x in part.column(1).to_pylist()], np.int64)
-            a = 0
-            while a < part.num_rows:
-                room = np.cumsum(lengths[a:])
-                b = min(part.num_rows, a + int(np.searchsorted(room, chunk_chars - size)) + 1)
-                rows.append(part.slice(a, b - a))
-                size += int(room[b - a - 1])
-                a = b
-                if size >= chunk_chars:
-                    yield flush()
-                    rows, size = [], 0
-        if rows:
-            yield flush()
-
-    return cut(slim.mapInArrow(run, "chunk string, chars long, data binary"))
-
-
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, chunk_chars: int = CHUNK_CHARS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(key, n_words, n_removed, factors, kept_sha256) per row: factors are spans of words, end exclusive."""
     slim = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = slim.schema["key"].dataType.simpleString()
-    chunks = _chunks(slim, chunk_chars)
-    chars = chunks.agg(F.sum("chars")).first()[0] or 0
-    blocks = max(1, -(-chars // (6 * block_words)))  # some six characters a word
+    chunks = packed(slim, chunk_chars)
+    blocks = n_blocks(chunks, block_words)
 
     def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for part in parts:
             for chunk, data in zip(part["chunk"], part["data"]):
-                own = Phrases(_unpack(data)["text"], width, blocks, hashes)
+                own = Phrases(unpack(data)["text"], width, blocks, hashes)
                 rows = [(chunk, block, own.value[a:b].tobytes(), np.packbits(own.twice[a:b]).tobytes()) for block, a, b in own.by_block()]
                 yield pd.DataFrame(rows, columns=["chunk", "block", "phrases", "twice"])
 
@@ -195,12 +154,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         bits = [np.packbits(out[e - len(v) : e]).tobytes() for v, e in zip(values, ends)]
         return pd.DataFrame({"chunk": part["chunk"], "block": part["block"], "found": bits})
 
-    answers = chunks.select("chunk", "data").mapInPandas(send, "chunk string, block long, phrases binary, twice binary").groupBy("block").applyInPandas(answer, "chunk string, block long, found binary")
+    answers = chunks.select("chunk", "data").mapInPandas(send, "chunk long, block long, phrases binary, twice binary").groupBy("block").applyInPandas(answer, "chunk long, block long, found binary")
 
     def parse(own: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
         out = []
         for data in own["data"]:
-            rows = _unpack(data)
+            rows = unpack(data)
             phrases = Phrases(rows["text"], width, blocks)
             bits = dict(zip(answered["block"], answered["found"]))
             found = np.zeros(len(phrases.value), bool)
