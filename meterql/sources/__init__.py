@@ -37,6 +37,7 @@ class Catalog:
         self._locks: dict[str, threading.Lock] = {}
         self._frames: dict[str, DataFrame] = {}
         self._fields: dict[str, tuple[Field, ...]] = {}
+        self._cells: dict[str, tuple[T.StructType, list[str]]] = {}
 
     def _files(self) -> dict[str, bool]:
         """Entry names, and whether each is a directory."""
@@ -75,6 +76,21 @@ class Catalog:
                 self._frames[name] = frame
             return self._frames[name]
 
+    def stream(self, name: str) -> DataFrame:
+        """The table as a file stream with frame()'s columns; files that come later are read too.
+
+        A table that is one file is watched in its directory by its name.
+        """
+        self.frame(name)
+        path = self._path(name)
+        whole = name + (".csv" if path.endswith(".csv") else ".parquet")
+        folder, only = (path, "*") if self._files()[whole] else (self.directory, whole)
+        if path.endswith(".csv"):
+            schema, kinds = self._cells[name]
+            raw = self.spark.readStream.options(**self._csv_options(), pathGlobFilter=only).schema(schema).csv(folder)
+            return _typed(raw, kinds, self._frames[name].columns)
+        return _widened(self.spark.readStream.schema(self.spark.read.parquet(path).schema).option("pathGlobFilter", only).parquet(folder))
+
     def schema(self, name: str) -> tuple[Field, ...]:
         if name not in self._fields:
             self.frame(name)
@@ -85,13 +101,13 @@ class Catalog:
         for f in frame.schema if self.strict_types else ():
             if isinstance(f.dataType, _NESTED):
                 raise QueryError(f'column "{f.name}": {"repeated fields" if isinstance(f.dataType, T.ArrayType) else "nested schemas"} are not supported')
-        wide = {f.name: _WIDEN[type(f.dataType)] for f in frame.schema if type(f.dataType) in _WIDEN}
-        # Casts over plain columns: the reader still prunes and pushes filters down.
-        return frame.select(*[F.col(f"`{c}`").cast(wide[c]).alias(c) if c in wide else F.col(f"`{c}`") for c in frame.columns]) if wide else frame
+        return _widened(frame)
+
+    def _csv_options(self) -> dict:
+        return {"header": True, "inferSchema": False, "ignoreLeadingWhiteSpace": True, "mode": "FAILFAST", "escape": '"', "multiLine": self.multi_line_csv}
 
     def _csv(self, name: str, path: str) -> DataFrame:
-        options = {"header": True, "inferSchema": False, "ignoreLeadingWhiteSpace": True, "mode": "FAILFAST", "escape": '"', "multiLine": self.multi_line_csv}
-        raw = self.spark.read.options(**options).csv(path)
+        raw = self.spark.read.options(**self._csv_options()).csv(path)
         if not raw.columns:
             raise QueryError(f'csv "{name}" is empty')
         columns = raw.columns
@@ -100,8 +116,18 @@ class Catalog:
         found = flat.agg(*[a.alias(f"{k}{i}") for i in range(len(columns)) for k, a in _shapes(F.col(f"c{i}")).items()], F.count(F.lit(1)).alias("rows")).first()
         kinds = [_kind(*(found[f"{k}{i}"] for k in ("filled", "ints", "floats", "bools"))) for i in range(len(columns))]
         schema = T.StructType([T.StructField(f"c{i}", T.StringType(), True) for i in range(len(columns))])
-        typed = self.spark.read.options(**options).schema(schema).csv(path)
-        return typed.select(*[F.col(f"c{i}").cast(k).alias(c) for i, (c, k) in enumerate(zip(columns, kinds))])
+        self._cells[name] = schema, kinds
+        return _typed(self.spark.read.options(**self._csv_options()).schema(schema).csv(path), kinds, columns)
+
+
+def _typed(cells: DataFrame, kinds: list[str], names: list[str]) -> DataFrame:
+    return cells.select(*[F.col(f"c{i}").cast(k).alias(c) for i, (c, k) in enumerate(zip(names, kinds))])
+
+
+def _widened(frame: DataFrame) -> DataFrame:
+    """Casts over plain columns only: the reader still prunes and pushes filters down."""
+    wide = {f.name: _WIDEN[type(f.dataType)] for f in frame.schema if type(f.dataType) in _WIDEN}
+    return frame.select(*[F.col(f"`{c}`").cast(wide[c]).alias(c) if c in wide else F.col(f"`{c}`") for c in frame.columns]) if wide else frame
 
 
 def _shapes(c: Column) -> dict[str, Column]:
