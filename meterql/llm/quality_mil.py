@@ -14,7 +14,8 @@ document; a document's score depends on its text alone.
 
 Defined edge cases: a null or empty text is one passage without words; rows
 without a label, or with a null one, do not train; several labels of a doc_id
-count as their maximum; repeated rows are scored row by row; without any
+count as their maximum; repeated rows are scored row by row (and train as one, with
+the least of their texts); without any
 training row the score is 0.5; other columns are not read.
 """
 
@@ -171,6 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (crc_mod(key, modulus) != remainder))
     chosen = usable.groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label")).orderBy(F.xxhash64("key"), "key").limit(max_documents)
     sample = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "key")
+    sample = sample.groupBy("key", "label").agg(F.min("text").alias("text"))  # a doc_id of many rows trains as one
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

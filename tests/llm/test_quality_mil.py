@@ -65,6 +65,14 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def test_a_doc_id_of_many_rows_trains_as_one(spark):
+    texts, labels = made(30)
+    marks = spark.createDataFrame([(i, y, 0) for i, y in enumerate(labels)], "doc_id long, quality int, toxic int")
+    once = mil.train(docs(spark, texts), marks)
+    often = mil.train(docs(spark, texts + [texts[1]] * 50, [*range(30), *[1] * 50]), marks)
+    assert once.score(texts) == pytest.approx(often.score(texts))
+
+
 def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     frame = docs(spark, [None, "", "a", "a"], [0, 1, 2, 2])
