@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from meterql.llm.common import LOWER, cut, utf8
 
-SEED, SHINGLE, BITS, MAX_BITS, BUCKET_PAIRS = 42, 3, 64, 2, 128
+SEED, SHINGLE, BITS, MAX_BITS, BUCKET_PAIRS, TASK_PRINTS = 42, 3, 64, 2, 128, 1 << 15
 _HASH = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
@@ -98,12 +98,15 @@ def _first_shared(max_bits: int, slot: str, x: str) -> str:
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """(a, b), a < b: every pair of distinct fingerprints at max_bits or fewer differing bits, once."""
-    variants = distinct.select("fp", _variants(max_bits)).select("fp", "v.slot", "v.part")
+    # So many tasks that none makes more than some two million variants, however few files hold the fingerprints.
+    spread = distinct.select("fp").repartition(max(1, -(-distinct.count() // TASK_PRINTS)), "fp")
+    variants = spread.select("fp", _variants(max_bits)).select("fp", "v.slot", "v.part")
     sizes = variants.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     sizes = cut(sizes)
     near = f"bit_count(a ^ b) <= {max_bits} and {_first_shared(max_bits, 'slot', '(a ^ b)')}"
     twos = sizes.where("n = 2").where(near).select("a", "b")
-    members = variants.join(sizes.where("n > 2").select("slot", "part", "n"), ["slot", "part"])
+    # Always a sort-merge join: both sides grow with the corpus, so neither may be broadcast when it happens to be small.
+    members = variants.join(sizes.where("n > 2").select("slot", "part", "n").hint("merge"), ["slot", "part"])
     lists = members.where(F.col("n") <= bucket_pairs).groupBy("slot", "part").agg(F.sort_array(F.collect_list("fp")).alias("all"))
     pair = near.replace("(a ^ b)", "(x ^ y)")
     more = lists.selectExpr("slot", f"explode(flatten(transform(all, x -> transform(filter(all, y -> x < y and {pair}), "
