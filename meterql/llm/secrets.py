@@ -8,8 +8,8 @@ from labelled findings, a bounded set (`LABELLED` of them unless others are
 given): this module writes them from templates of leaked credentials and of
 what scanners take for them, since the tables bring no labelled findings.
 
-Defined edge cases: null and empty texts have no findings; texts of any length
-are scanned whole; equal candidates in one text are findings of their own;
+Defined edge cases: null and empty texts have no findings; texts and candidates of
+any length are looked at whole; equal candidates in one text are findings of their own;
 overlapping candidates merge into one; repeated rows each get a row; other
 columns are not read.
 """
@@ -60,9 +60,10 @@ static status stop storage store stream string strong style submit summer super
 text that theme there thing this thread through time timer title token tool total trace track train transfer tree true type under unique unit update
 upload user util value vector version very video view volume wait water week welcome where which white widget width window with word work world write year your""".split())
 
-_VALUE = re.compile(r"(?i)(?:" + "|".join(n.replace("_", "[_-]?") for n in NAMES) + r""")[\w-]{0,24}["']?\s{0,3}(?:[:=]|=>|:=)\s{0,3}["']?([^\s"'`,;()<>]{8,512})""")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,512}={0,2}")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}?-----END [A-Z ]{0,32}PRIVATE KEY-----")
+_VALUE = re.compile(r"(?i)(?:" + "|".join(n.replace("_", "[_-]?") for n in NAMES) + r""")[\w-]{0,24}["']?\s{0,3}(?:[:=]|=>|:=)\s{0,3}["']?([^\s"'`,;()<>]{8,})""")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Between the marks: headers (Proc-Type, DEK-Info), lines of base64, quotes around them, line ends as such or escaped.
+_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,\\\"']|-(?!----))*+-----END [A-Z ]{0,32}PRIVATE KEY-----")
 _DICTIONARY = re.compile("|".join(sorted((w for w in WORDS if len(w) > 3), key=len, reverse=True)))
 
 
