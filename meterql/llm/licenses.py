@@ -8,8 +8,8 @@ then matched against ordered licence rules: at each place the first rule whose
 whole sequence stands there names a licence and takes its sentences; a sentence
 that no rule takes is reported as unmatched.
 
-Every sentence of every text is looked at; a fast search for the words that all
-known sentences have some of only tells the texts in which none can be.
+Every sentence of every text is normalised and looked at; a pattern is tried where
+the longest words stand that each of its matches has, as read from the pattern.
 
 Defined edge cases: null and empty texts have no findings; a licence stated
 twice is found twice (and listed once in `licenses`); repeated rows each get a
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from re import _parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -88,10 +89,23 @@ RULES = (
     ("Public-Domain", ("public_domain",)),
     ("Proprietary", ("proprietary",)),
 )
-_ANY = re.compile(r"(?i)licen[sc]e|permission|redistribut|warrant|public domain|rights reserved|copyright notice|endorse|liable")
-_KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
+
+
+def _needed(pattern: str) -> str:
+    """The longest literal text that every match of pattern holds."""
+    runs = [""]
+    for op, value in _parser.parse(pattern):
+        if op is _parser.LITERAL:
+            runs[-1] += chr(value)
+        else:
+            runs.append("")
+    return max(runs, key=len)
+
+
+_KNOWN = [(name, _needed(pattern), re.compile(pattern)) for name, pattern in SENTENCES]
 #: A sentence ends at a stop before white space, or where a paragraph or bullet begins.
-_END = re.compile(r"(?<=[.!?])(?=[\s\"')])|\n\s*\n|\n(?=\s*(?:[*#/-]+\s*)?(?:\d+\.|[-*•])\s)|(?<=:)\s*\n")
+#: A star after white space or two dashes go on a comment, so they are no bullets.
+_END = re.compile(r"(?<=[.!?])(?=[\s\"')])|\n\s*\n|\n(?=\s*(?:(?:[*#/-]+\s*)?\d+\.|(?:[*#/]+\s*)?[-•])\s|\*\s)|(?<=:)\s*\n")
 _MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/|\*|//+|#+|--|;+|<!--|>|rem\b)?[ \t]*")
 _QUOTES = re.compile(r"[\"'`“”‘’«»]")
 _WRAP = re.compile(r"[^a-z0-9.,/()+-]+")
@@ -140,14 +154,12 @@ def _named(family: str, m: re.Match, sentence: str) -> str:
 
 def scan(text: str | None) -> tuple[list[Match], list[str]]:
     """Licences found, in order, and the identifiers of known sentences that no rule took."""
-    if not text or not _ANY.search(text):
+    if not text:
         return [], []
     known: list[tuple[str, int, int, re.Match]] = []
     for a, b, sentence in sentences(text):
-        if not _ANY.search(sentence):
-            continue
         plain = normalise(sentence)
-        found = sorted(((m.start(), -m.end(), k, name, m) for k, (name, pattern) in enumerate(_KNOWN) for m in pattern.finditer(plain)), key=lambda x: x[:3])
+        found = sorted(((m.start(), -m.end(), k, name, m) for k, (name, needed, pattern) in enumerate(_KNOWN) if needed in plain for m in pattern.finditer(plain)), key=lambda x: x[:3])
         end = 0
         for start, stop, _, name, m in found:  # several may stand in one sentence; the longest from the left wins
             if start >= end:

@@ -43,6 +43,41 @@ def test_rules(text, want):
     assert [m.license for m in lic.scan(text)[0]] == want
 
 
+#: A statement of each known sentence, as it is written.
+STATED = {
+    "spdx": "SPDX-License-Identifier: MIT", "gpl_reference": "Released under the GNU General Public License v2",
+    "gpl_terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",
+    "gpl_no_warranty": "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "gpl_copy": "You should have received a copy of the GNU General Public License",
+    "gpl_details": "See the GNU General Public License for more details", "apache_grant": "Licensed under the Apache License, Version 2.0", "apache_reference": "Available under the Apache Software License 2.0",
+    "apache_compliance": "you may not use this file except in compliance with the License", "apache_obtain": "You may obtain a copy of the License at",
+    "apache_basis": 'distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND', "apache_see": "See the License for the specific language governing permissions and limitations",
+    "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit_notice": "The above copyright notice and this permission notice shall be included in all copies",
+    "as_is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND', "mit_liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE", "mit_reference": "Published under the MIT licence",
+    "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    "bsd_source": "Redistributions of source code must retain the above copyright notice", "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice",
+    "bsd_endorse": "Neither the name of X nor the names of its contributors may be used to endorse", "bsd_reference": "Distributed under the new BSD license", "mpl_reference": "subject to the terms of the Mozilla Public License, v2.0",
+    "mpl_short": "Available under the Mozilla Public License 2.0", "cc_reference": "Released under CC BY 4.0", "public_domain": "placed into the public domain",
+    "unlicense": "This is free and unencumbered software released into the public domain", "proprietary": "All rights reserved",
+}
+
+
+@pytest.mark.parametrize("name", [name for name, _ in lic.SENTENCES])
+def test_each_known_sentence_is_met_alone_and_broken_across_lines(name):
+    def met(text):
+        found, rest = lic.scan(text)
+        return [m.license for m in found] + rest
+
+    want = met(STATED[name])
+    assert len(want) == 1
+    for mark in ("", " * ", "# ", "// ", "-- ", "  "):
+        assert met(mark + STATED[name].replace(" ", "\n" + mark).replace(":\n" + mark, ": ") + ".") == want
+
+
+def test_statements_without_the_word_licence():
+    assert [m.license for m in lic.scan("Made available under Creative Commons Attribution-ShareAlike 3.0.")[0]] == ["CC-BY-SA-3.0"]
+    assert [m.license for m in lic.scan("Released under CC BY 4.0.")[0]] == ["CC-BY-4.0"]
+
+
 def test_order_of_sentences_matters():
     found, rest = lic.scan("The above copyright notice and this permission notice shall be included in all copies.")
     assert not found and rest == ["mit_notice"]
