@@ -8,16 +8,19 @@ Texts begin in a context of start marks and close with an end symbol, so the
 probabilities of all texts sum to one at most.
 
 Two uses: `adaptive_log10` learns within one document as it goes;
-`PretrainedModel` holds counts from a corpus. Since every occurrence of a
+`PretrainedModel` holds given counts, `scores` those of a corpus. Since every occurrence of a
 context is one of its suffix too, the symbols excluded on an escape are just
 those of the context left behind. A pretrained model's costs and moves are thus
 a finite table of contexts by symbols, compiled once a worker, and texts are
 scored many at a time, step by step; long ones in pieces that each begin with
 their true context.
 
-The counts are of every training document. The trie keeps the contexts that
-hold at least one in `share` of all training symbols, at any corpus size, so it
-has at most `share` contexts of an order, which is what bounds the broadcast.
+The counts are of every training document, and no context is left out. `gram_costs`
+turns the counts of all grams that end their contexts alike into the costs of
+these grams; each chunk asks for its distinct grams' costs once, by hash block,
+so the model is as large as the corpus makes it and stands nowhere as a whole.
+Only the counts after contexts of at most one symbol go to every task, which
+are 257 * 258 numbers at most.
 
 `scores` adds the unigram base score over words `[^\x20\x09-\x0D]+` and one end
 token a text. Each chunk asks for the counts of its distinct words once, by
@@ -44,7 +47,8 @@ from pyspark.sql import functions as F
 from meterql.llm.chunks import BLOCK_WORDS, CHUNK_CHARS, n_blocks, packed, unpack
 from meterql.llm.common import LOWER, crc_mod, cut, utf8
 
-ORDER, SHARE = 5, 16384
+ORDER, SHARE = 5, 1 << 62  # a context is kept from one in `SHARE` of all symbols: all are
+NEAR = 2  # last symbols of a context by which its grams are gathered
 MARK, SYMBOLS, WIDTH = 256, 257, 9  # the mark starts contexts and ends texts; bits of a symbol in a gram
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 7, 2
 LANE, GRAMS_HELD = 256, 1_000_000
@@ -62,8 +66,8 @@ def symbols_of(texts: Iterable[str | None], order: int) -> tuple[np.ndarray, np.
     return stream, sizes
 
 
-def grams(texts: Iterable[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context, symbol) grams of texts, packed into integers, and their counts."""
+def gram_stream(texts: Iterable[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, sizes): the (context, symbol) grams of texts in order, packed into integers; sizes count each text's."""
     stream, sizes = symbols_of(texts, order)
     keys = np.zeros(max(0, len(stream) - order), np.int64)
     for k in range(order + 1):
@@ -72,7 +76,7 @@ def grams(texts: Iterable[str | None], order: int) -> tuple[np.ndarray, np.ndarr
     use = np.zeros(len(stream) + 1, np.int64)
     np.add.at(use, starts, 1)
     np.add.at(use, starts + sizes, -1)
-    return np.unique(keys[np.cumsum(use)[: len(keys)] > 0], return_counts=True)
+    return keys[np.cumsum(use)[: len(keys)] > 0], sizes
 
 
 def adaptive_log10(text: str | None, order: int = ORDER) -> float:
@@ -161,14 +165,16 @@ class PretrainedModel:
 
 
 def gram_counts(chunks: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n) of all training rows of packed chunks; each task adds up before it sends."""
+    """(gram, n) of all rows of packed chunks, n counted in training rows only; each task adds up before it sends."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for part in parts:
             for data in part["data"]:
                 rows = unpack(data)
-                new, n = grams(rows["text"][rows["train"].to_numpy(bool)], order)
+                new, sizes = gram_stream(rows["text"], order)
+                new, at = np.unique(new, return_inverse=True)
+                n = np.bincount(at[np.repeat(rows["train"].to_numpy(bool), sizes)], minlength=len(new))
                 keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
                 counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
                 if len(keys) > GRAMS_HELD:
@@ -179,26 +185,110 @@ def gram_counts(chunks: DataFrame, order: int = ORDER) -> DataFrame:
     return chunks.select("data").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def train(chunks: DataFrame, order: int = ORDER, share: int = SHARE) -> dict[tuple[int, ...], dict[int, int]]:
-    """The contexts that hold at least one in `share` of all training symbols, with what follows them."""
-    full = cut(gram_counts(chunks, order))
-    whole = full.agg(F.sum("n")).first()[0] or 0
-    masks = [(1 << WIDTH * (k + 1)) - 1 for k in range(order + 1)]
-    levels = full.select(F.posexplode(F.array(*[F.col("gram").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "gram"), "n").groupBy("k", "gram").agg(F.sum("n").alias("n"))
-    # At most SYMBOLS rows meet in a context, so the lists are bounded.
-    rows = levels.groupBy("k", F.shiftright("gram", WIDTH).alias("context")).agg(F.sum("n").alias("whole"), F.collect_list(F.struct(F.col("gram").bitwiseAND(F.lit(511)).alias("s"), "n")).alias("next"))
-    heavy = rows.where(F.col("whole") * share >= whole).select("k", "context", F.col("next.s").alias("s"), F.col("next.n").alias("n"))
-    return {tuple(c >> WIDTH * (k - 1 - i) & 511 for i in range(k)): dict(zip(s, n)) for k, c, s, n in heavy.toLocalIterator()}
+def gram_costs(grams: np.ndarray, n: np.ndarray, order: int, short: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of each gram's symbol after its context. With a gram, all of its last len(short) context symbols are given.
 
+    short[k]: counts of (the last k symbols of a context, symbol), for the k that are below.
+    """
+    levels = []  # of each k: the grams' counts, their contexts' totals and distinct symbols, and what the suffix counts of these symbols sum to
+    counts: list[np.ndarray] = []
+    for k in range(order + 1):
+        if k < len(short):
+            counts.append(short[k].ravel()[_short_index(grams, k)])
+            continue
+        key, at = np.unique(grams & ((1 << WIDTH * (k + 1)) - 1), return_inverse=True)
+        counts.append(np.bincount(at, n, len(key)).astype(np.int64)[at])
+    for k in range(order + 1):
+        if k < len(short):
+            table = short[k].reshape(-1, SYMBOLS)
+            up = np.zeros_like(table) if k == 0 else np.where(table > 0, short[k - 1].reshape(-1, SYMBOLS)[np.arange(len(table)) % SYMBOLS ** (k - 1)], 0)
+            row = _short_index(grams, k) // SYMBOLS
+            levels.append((table.sum(1)[row], (table > 0).sum(1)[row], up.sum(1)[row]))
+            continue
+        key, first = np.unique(grams & ((1 << WIDTH * (k + 1)) - 1), return_index=True)
+        _, context = np.unique(key >> WIDTH, return_inverse=True)
+        _, mine = np.unique((grams >> WIDTH) & ((1 << WIDTH * k) - 1), return_inverse=True)
+        own = counts[k][first]
+        up = np.where(own > 0, counts[k - 1][first], 0) if k else np.zeros(len(key), np.int64)
+        levels.append(tuple(np.bincount(context, x).astype(np.int64)[mine] for x in (own, own > 0, up)))
+    cost, done = np.zeros(len(grams)), np.zeros(len(grams), bool)
+    over, over_distinct = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
+    for k in range(order, -1, -1):
+        whole, distinct, up = levels[k]
+        left, rest = whole - over, distinct - over_distinct  # without the symbols that the longer context has
+        hit = ~done & (counts[k] > 0)
+        cost[hit] += np.log10(counts[k][hit] / (left + rest)[hit])
+        done |= hit
+        escape = ~done & (rest > 0)
+        cost[escape] += np.log10(rest[escape] / (left + rest)[escape])
+        over, over_distinct = up, distinct
+    cost[~done] -= np.log10(np.maximum(1, SYMBOLS - over_distinct[~done]))
+    return cost
+
+
+def _short_index(grams: np.ndarray, k: int) -> np.ndarray:
+    """Where the last k context symbols and the symbol stand in a table of k + 1 dimensions."""
+    at = np.zeros(len(grams), np.int64)
+    for j in range(k, -1, -1):
+        at = at * SYMBOLS + (grams >> WIDTH * j & 511)
+    return at
+
+
+def cost_table(chunks: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, cost) of every gram in the chunks' texts, learnt from all training rows."""
+    full, near = cut(gram_counts(chunks, order)), min(order, NEAR)
+    short = []
+    for k in range(near):
+        table = np.zeros(SYMBOLS ** (k + 1), np.int64)
+        rows = full.where("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << WIDTH * (k + 1)) - 1)).alias("g")).agg(F.sum("n").alias("n")).collect()
+        table[_short_index(np.array([r.g for r in rows], np.int64), k)] = [r.n for r in rows]
+        short.append(table)
+
+    def costs(part: pd.DataFrame) -> pd.DataFrame:
+        grams = part["gram"].to_numpy()
+        return pd.DataFrame({"gram": grams, "cost": gram_costs(grams, part["n"].to_numpy(), order, short).astype(np.float32)})
+
+    ending = F.shiftright("gram", WIDTH).bitwiseAND(F.lit((1 << WIDTH * near) - 1))
+    return full.groupBy(ending.alias("ending")).applyInPandas(costs, "gram long, cost float")
+
+
+def _gram_block(grams: np.ndarray, blocks: int) -> np.ndarray:
+    return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
+
+
+def _asked(texts: Iterable[str | None], order: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct grams by block, their blocks, where each gram of the texts stands among them, sizes)."""
+    stream, sizes = gram_stream(texts, order)
+    keys, at = np.unique(stream, return_inverse=True)
+    block = _gram_block(keys, blocks)
+    by = np.argsort(block, kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    return keys[by], block[by], rank[at], sizes
+
+
+def gram_answers(chunks: DataFrame, table: DataFrame, order: int, blocks: int) -> DataFrame:
+    """(chunk, block, costs): the costs of each chunk's distinct grams, in the order in which it asks."""
 
-_model: list = [None, None]
+    def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for chunk, data in zip(part["chunk"], part["data"]):
+                keys, block, _, _ = _asked(unpack(data)["text"], order, blocks)
+                edges = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
+                yield pd.DataFrame([(chunk, int(block[a]), keys[a:b].tobytes()) for a, b in zip(edges, [*edges[1:], len(block)])], columns=["chunk", "block", "grams"])
+
+    def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.assign(block=_gram_block(part["gram"].to_numpy(), blocks))
 
+    def answer(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        given = given.sort_values("gram")
+        keys, costs = given["gram"].to_numpy(), given["cost"].to_numpy(np.float32)
+        return pd.DataFrame({"chunk": asked["chunk"], "block": asked["block"], "costs": [costs[np.searchsorted(keys, np.frombuffer(g, np.int64))].tobytes() for g in asked["grams"]]})
 
-def _compiled(handle, order: int) -> PretrainedModel:
-    """The model of a broadcast, compiled once in each Python worker."""
-    if _model[0] != handle.value["name"]:
-        _model[:] = handle.value["name"], PretrainedModel(handle.value["contexts"], order)
-    return _model[1]
+    sent = chunks.select("chunk", "data").mapInPandas(send, "chunk long, block long, grams binary")
+    there = table.mapInPandas(placed, "gram long, cost float, block long")
+    return cut(sent.groupBy("block").cogroup(there.groupBy("block")).applyInPandas(answer, "chunk long, block long, costs binary"))
 
 
 class _Numbers(dict):
@@ -256,7 +346,7 @@ def word_answers(chunks: DataFrame, blocks: int) -> DataFrame:
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = HELD_OUT_MODULUS, remainder: int = HELD_OUT_REMAINDER,
-           order: int = ORDER, share: int = SHARE, chunk_chars: int = CHUNK_CHARS, block_words: int = BLOCK_WORDS) -> DataFrame:
+           order: int = ORDER, chunk_chars: int = CHUNK_CHARS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) per row, learnt from the rows that aren't held out."""
     slim = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), (crc_mod(key, modulus) != remainder).alias("train"))
     kind = slim.schema["key"].dataType.simpleString()
@@ -264,11 +354,14 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: in
     blocks = n_blocks(chunks, block_words)
     answers = word_answers(chunks, blocks)
     n_tokens, n_words = (x or 0 for x in answers.agg(F.sum("n_tokens"), F.sum("n_words")).first())
-    contexts = train(chunks, order, share)
-    model = docs.sparkSession.sparkContext.broadcast({"name": xxhash.xxh64_hexdigest(repr(sorted((c, sorted(r.items())) for c, r in contexts.items()))), "contexts": contexts})
+    # One table of both answers: those of words are blocks from 0, those of grams lie below.
+    costs = gram_answers(chunks, cost_table(chunks, order), order, blocks)
+    answers = answers.select("chunk", "block", "counts", "wide").unionByName(costs.select("chunk", (-1 - F.col("block")).alias("block"), F.col("costs").alias("counts"), F.lit(False).alias("wide")))
 
     def judge(own: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
-        machine, out = _compiled(model, order), []
+        out = []
+        of_grams = {-1 - b: np.frombuffer(x, np.float32) for b, x in zip(answered["block"], answered["counts"]) if b < 0}
+        answered = answered[answered["block"] >= 0]
         given = {b: np.frombuffer(x, np.int64 if wide else np.uint32).astype(np.int64) for b, x, wide in zip(answered["block"], answered["counts"], answered["wide"])}
         for data in own["data"]:
             rows = unpack(data)
@@ -278,9 +371,11 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: in
                 counts[words.order[a:b]] = given[block]
             starts = np.cumsum(words.sizes) - words.sizes
             logs = np.log10((counts + 1) / (n_tokens + n_words + 1))[words.ids]
+            _, asked, at, sizes = _asked(rows["text"], order, blocks)
+            own_costs = np.concatenate([of_grams[b] for b in np.unique(asked).tolist()]).astype(np.float64)[at]
             out.append(pd.DataFrame({
                 key: rows["key"], "held_out": ~rows["train"].to_numpy(bool), "n_tokens": words.sizes, "n_known": np.add.reduceat((counts > 0)[words.ids].astype(np.int64), starts),
-                "train_tokens": n_tokens, "base_score": np.add.reduceat(logs, starts), "score": machine.log10(rows["text"]),
+                "train_tokens": n_tokens, "base_score": np.add.reduceat(logs, starts), "score": np.add.reduceat(own_costs, np.cumsum(sizes) - sizes),
             }))
         return pd.concat(out) if out else pd.DataFrame(columns=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -92,3 +92,15 @@ def test_rows_against_brute_force(spark):
 def test_repeated_rows_and_empty_table(spark):
     assert len(ppm.scores(docs(spark, ["a b", "a b", None], [1, 1, None])).collect()) == 3
     assert ppm.scores(docs(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 5])
+def test_every_context_of_the_corpus_counts(spark, order):
+    rng = random.Random(5)
+    found = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(600)) for _ in range(60)]
+    ids = list(range(len(found)))
+    train = [t for i, t in zip(ids, found) if zlib.crc32(str(i).encode()) % 7 != 2]
+    contexts = contexts_of(train, order, 1 << 62)
+    assert sum(len(t) + 1 for t in train) > 16384  # so that a share of all symbols leaves contexts out
+    got = sorted(ppm.scores(docs(spark, found, ids), order=order, chunk_chars=9000, block_words=900).collect())
+    assert [r.score for r in got] == pytest.approx([brute_score(t, contexts, order) for t in found], rel=1e-5)
