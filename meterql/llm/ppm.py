@@ -11,7 +11,7 @@ Two uses: `adaptive_log10` learns within one document as it goes;
 `PretrainedModel` holds given counts, `scores` those of a corpus. Since every occurrence of a
 context is one of its suffix too, the symbols excluded on an escape are just
 those of the context left behind. A pretrained model's costs and moves are thus
-a finite table of contexts by symbols, compiled once a worker, and texts are
+a finite table of contexts by symbols, and texts are
 scored many at a time, step by step; long ones in pieces that each begin with
 their true context.
 
