@@ -1,4 +1,5 @@
 import math
+import random
 
 from meterql.llm import html_tree as tree
 
@@ -24,6 +25,9 @@ def test_odd_markup():
     assert tree.main_text("<div>1 < 2 and 3 > 2</div>") == "1 < 2 and 3 > 2"
     assert tree.main_text("<p>" + "long " * 100_000 + "</p>") == ("long " * 100_000).strip()
     assert tree.main_text("<div>" * 3000 + "deep") == "deep"
+    assert tree.main_text("<p>a</p><svg/><p>b</p>") == tree.main_text('<p>a</p><iframe src="x" /><p>b</p>') == "a\nb"
+    assert tree.main_text("<p>a</p><svg><text>c</text></svg><p>b</p><iframe src=x>") == "a\nb"
+    assert tree.main_text("<div><p>a</p><noscript>on</noscript><template><p>t</p></template><p>b</p></div>") == "a\nb"
 
 
 def made(n):
@@ -51,14 +55,56 @@ def test_copies_of_one_page_are_no_furniture(spark):
     assert {r.text for r in got} == {"the same page everywhere"} and len(got) == 30
 
 
+def site(i, rng):
+    """A page whose menu, advert and footer say something else each time, without a word that names them."""
+    words = lambda n: " ".join(rng.choice(["sun", "rain", "tide", "wind", "fog", "ice"]) + str(rng.randrange(99)) for _ in range(n))
+    paragraphs = [words(rng.randrange(4, 30)) for _ in range(rng.randrange(1, 9))]
+    article = "".join(f"<p>{p}</p>" + ("<ul><li>x</ul>" if j % 3 == rng.randrange(3) else "") for j, p in enumerate(paragraphs))
+    html = (f"<body><div class=one><ul>{''.join(f'<li>{words(1)}' for _ in range(6))}</ul></div><div class=two>{words(8)}</div><article><h1>{words(4)}</h1>{article}"
+            f"<div class=plug><b>Get our letter</b> every day</div></article><div class=three>{words(5)}</div></body>")
+    return html, paragraphs
+
+
+def test_the_tree_alone_decides_where_no_list_does(spark):
+    rng = random.Random(4)
+    made_pages = [site(i, rng) for i in range(60)]
+    frame = spark.createDataFrame([(i, "http://h.example.com/", h) for i, (h, _) in enumerate(made_pages)], PAGES)
+    got = {r.page_id: r for r in tree.extract(frame, lists=False).collect()}
+    for i, (_, paragraphs) in enumerate(made_pages):
+        lines = got[i].text.split("\n")
+        assert [x for x in lines if x != "x"][1:] == paragraphs and got[i].n_removed >= 3
+    # With the lists the article is found by its mark; what all articles repeat still goes by entropy.
+    with_lists = tree.extract(frame).collect()
+    assert all("letter" not in r.text and r.n_removed >= 1 for r in with_lists)
+    assert all("letter" in tree.main_text(h) for h, _ in made_pages)
+
+
+def test_evidence_outweighs_the_prior_page_by_page():
+    steps = [tree.importance((n, 0.0, 0.0), False, 1.0) for n in (2, 4, 8, 100)]
+    assert tree.importance(None, False, 1.0) == 1.0 and steps == sorted(steps, reverse=True) and steps[0] > tree.IMPORTANCE > steps[2]
+    assert tree.importance((50, 0.1, 0.9), True, 1.0) < tree.IMPORTANCE < tree.importance((50, 0.1, 0.9), False, 1.0)
+
+
+def test_copies_of_an_article_count_once_whatever_surrounds_them(spark):
+    rows = [(i, "http://h.example.com/", f"<body><nav>{i}</nav><article><h1>T</h1><p>one text</p></article></body>") for i in range(40)]
+    assert {r.text for r in tree.extract(spark.createDataFrame(rows, PAGES)).collect()} == {"T\none text"}
+
+
 def test_importance_is_the_entropy(spark):
-    rows = [(i, "http://h.example.com/", f"<body><p>{'same' if i < 6 else i}</p><i>{i}</i></body>") for i in range(8)]
-    found = sorted(r.importance for r in tree.style_tree(spark.createDataFrame(rows, PAGES)).collect())
-    want = -(6 / 8 * math.log(6 / 8) + 2 * 1 / 8 * math.log(1 / 8)) / math.log(8)
-    assert [round(x, 9) for x in found] == [round(x, 9) for x in sorted([want, 1.0, 1.0])]
+    rows = [(i, "http://h.example.com/", f"<body><p>{'same' if i < 6 else i}</p>{'<i>x</i>' * (1 + (i == 0))}<b>{i}</b></body>") for i in range(8)]
+    found = sorted((round(r.shape, 9), round(r.content, 9)) for r in tree.style_tree(spark.createDataFrame(rows, PAGES)).collect())
+    h = lambda *n: round(-sum(x / 8 * math.log(x / 8) for x in n) / math.log(8), 9)
+    # p; i (two on one page, which is their parent's shape); b; body
+    assert found == sorted([(0.0, h(6, 1, 1)), (0.0, h(7, 1)), (0.0, 1.0), (h(7, 1), 1.0)])
 
 
 def test_clashing_names_and_empty_table(spark):
     frame = spark.createDataFrame([(1, "u", "<p>x</p>", "y", "z")], PAGES + ", text string, host string")
-    assert [tuple(r) for r in tree.extract(frame).collect()] == [(1, "u", "x", 1)]
+    assert [tuple(r) for r in tree.extract(frame).collect()] == [(1, "u", "x", 1, 0, 0)]
     assert tree.extract(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_ids_beside_nulls_stay_exact(spark):
+    big = (1 << 53) + 1
+    frame = spark.createDataFrame([(big, "u", "<p>x</p>"), (None, "u", "<p>y</p>")], PAGES)
+    assert sorted((r.page_id or 0, r.text) for r in tree.extract(frame).collect()) == [(0, "y"), (big, "x")]
