@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from meterql.llm.common import cut
 
-CHUNK_CHARS, BLOCK_WORDS = 6_000_000, 1_000_000
+CHUNK_CHARS, BLOCK_WORDS, ROW_CHARS = 6_000_000, 1_000_000, 16
 
 
 def _pack(batch: pa.RecordBatch) -> bytes:
@@ -30,7 +30,8 @@ def _pack(batch: pa.RecordBatch) -> bytes:
 
 
 def unpack(data: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(data).read_all().to_pandas()
+    """The rows of a chunk; integers beside nulls stay integers."""
+    return pa.ipc.open_stream(data).read_all().to_pandas(integer_object_nulls=True)
 
 
 def packed(rows: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -44,7 +45,8 @@ def packed(rows: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(63)], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["chunk", "chars", "data"])
 
         for part in parts:
-            lengths = np.array([len(x) if x is not None else 0 for x in part.column(1).to_pylist()], np.int64)
+            # A row weighs something even if it is empty, so a chunk of empty texts is bounded too.
+            lengths = np.array([ROW_CHARS + (len(x) if x is not None else 0) for x in part.column(1).to_pylist()], np.int64)
             a = 0
             while a < part.num_rows:
                 room = np.cumsum(lengths[a:])

@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: Rows' characters that a Python worker turns into objects at a time.
+CHARS_AT_ONCE = 1 << 22
 
 #: The characters that end a word in the `[^\x20\x09-\x0D]+` sense, as a regex class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -25,11 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the session's own folder, else (tests) a local one."""
+    """Make checkpoint() usable in the session's shared folder; only a session within one process gets one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        conf = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="meterql-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="meterql-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,3 +54,32 @@ def utf8(text: str | None) -> bytes:
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the column's decimal text, modulo; null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def by_rows(df: DataFrame, run: Callable[..., dict[str, list]], fields: str, chars: int = CHARS_AT_ONCE) -> DataFrame:
+    """(first column, fields): run gets the other columns as lists, the first of them text, and returns fields as lists.
+
+    The first column passes through as Arrow has it, so no id changes, whatever
+    its type and whether nulls stand beside it. Rows go to run in slices of
+    about `chars` characters.
+    """
+    key, spark = df.schema[0], df.sparkSession
+    schema = T.StructType([key, *spark.createDataFrame([], fields).schema])
+    arrow = to_arrow_schema(schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            sizes = [len(x) if x is not None else 0 for x in batch.column(1).to_pylist()]
+            while at < batch.num_rows:
+                end, held = at + 1, sizes[at]
+                while end < batch.num_rows and held + sizes[end] <= chars:
+                    held += sizes[end]
+                    end += 1
+                part = batch.slice(at, end - at)
+                out = run(*[c.to_pylist() for c in part.columns[1:]])
+                columns = [part.column(0).cast(arrow.types[0]), *[pa.array(out[f.name], f.type) for f in list(arrow)[1:]]]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                at = end
+
+    return df.mapInArrow(each, schema)

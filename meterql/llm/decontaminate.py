@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterql.llm.common import utf8
+from meterql.llm.common import by_rows, utf8
 from meterql.llm.fm_index import FMIndex
 
 WINDOW, SHARD_WORDS, BLOCK_WORDS = 10, 1 << 20, 1 << 20
@@ -125,21 +125,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                   window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(key, n_words, n_hit, items, spans) per row: spans of words to remove, end exclusive."""
     blocks = broadcast_blocks(benchmark, item, item_text, window, block_words)
-    slim = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("__text"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = list(scan(part["__text"], blocks, shard_words))
-            yield pd.DataFrame({
-                key: part[key],
-                "n_words": [n for n, _, _ in found],
-                "n_hit": [int((s[:, 1] - s[:, 0]).sum()) for _, s, _ in found],
-                "items": [i for _, _, i in found],
-                "spans": [[{"start": a, "end": b} for a, b in s.tolist()] for _, s, _ in found],
-            })
-
-    kind = slim.schema[key].dataType.simpleString()
-    return slim.mapInPandas(run, f"`{key}` {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    slim = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("text"))
+
+    def run(texts: list[str | None]) -> dict[str, list]:
+        found = list(scan(texts, blocks, shard_words))
+        return {
+            "n_words": [n for n, _, _ in found],
+            "n_hit": [int((s[:, 1] - s[:, 0]).sum()) for _, s, _ in found],
+            "items": [i for _, _, i in found],
+            "spans": [[{"start": a, "end": b} for a, b in s.tolist()] for _, s, _ in found],
+        }
+
+    return by_rows(slim, run, "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
