@@ -57,7 +57,7 @@ def crc_mod(column: str, modulus: int) -> Column:
 
 
 def by_rows(df: DataFrame, run: Callable[..., dict[str, list]], fields: str, chars: int = CHARS_AT_ONCE) -> DataFrame:
-    """(first column, fields): run gets the other columns as lists, the first of them text, and returns fields as lists.
+    """(first column, fields): run gets the other columns as lists, the first of them text, and returns fields as lists or Arrow arrays.
 
     The first column passes through as Arrow has it, so no id changes, whatever
     its type and whether nulls stand beside it. Rows go to run in slices of
@@ -78,7 +78,7 @@ def by_rows(df: DataFrame, run: Callable[..., dict[str, list]], fields: str, cha
                     end += 1
                 part = batch.slice(at, end - at)
                 out = run(*[c.to_pylist() for c in part.columns[1:]])
-                columns = [part.column(0).cast(arrow.types[0]), *[pa.array(out[f.name], f.type) for f in list(arrow)[1:]]]
+                columns = [part.column(0).cast(arrow.types[0]), *[x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in list(arrow)[1:]]]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
                 at = end
 

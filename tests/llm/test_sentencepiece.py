@@ -1,7 +1,9 @@
+import math
 import os
 import random
 import struct
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -43,6 +45,54 @@ def test_unigram_shortest_path():
         assert machine.encode(text).tolist() == library.encode(text)
 
 
+def paths(machine, lattice, state, last=fst.FALLBACK):
+    """Every path from a state to the end of a part's lattice: (weight, labels)."""
+    if state == lattice.last[0]:
+        yield 0.0, ()
+    for k in np.flatnonzero(lattice.source == state):
+        weight = lattice.weight[k] + machine.after(np.array([last]), lattice.label[k : k + 1])[0]
+        if weight < math.inf:
+            for rest, tail in paths(machine, lattice, lattice.target[k], int(lattice.label[k])):
+                yield weight + rest, (int(lattice.label[k]), *tail)
+
+
+def test_shortest_path_is_the_least_of_all_paths_of_the_lattice():
+    bpe, unigram = fst.Transducer(open(fst.DEFAULT_MODEL, "rb").read()), fst.Transducer(unigram_model())
+    rng = random.Random(11)
+    for _ in range(60):
+        for machine, letters in ((bpe, "theringswat\x00"), (unigram, "abcz")):
+            lattice = machine.compose([fst.META + "".join(rng.choice(letters) for _ in range(rng.randrange(1, 9)))])
+            found = list(paths(machine, lattice, 0))
+            distance, label, back = machine.shortest_paths(lattice)
+            own, at = [], int(lattice.last[0])
+            while at:
+                own.insert(0, int(label[at]))
+                at = int(back[at])
+            assert abs(distance[-1] - min(w for w, _ in found)) < 1e-9 and any(tail == tuple(own) and abs(w - distance[-1]) < 1e-9 for w, tail in found)
+            assert machine is unigram or len(found) == 1  # one path stands
+
+
+def test_many_parts_at_once_are_as_each_alone():
+    rng = random.Random(5)
+    for model in (open(fst.DEFAULT_MODEL, "rb").read(), unigram_model()):
+        texts = ["".join(rng.choice("ab ctheé\n漢") for _ in range(rng.choice([0, 3, 30, 700]))) for _ in range(60)]
+        ids, ends = fst.Transducer(model).encode_all(texts)
+        machine = fst.Transducer(model)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [machine.encode(t).tolist() for t in texts]
+
+
+def test_normaliser_machine():
+    drops, keeps = fst.Normaliser(True, True), fst.Normaliser(True, False)
+    assert drops.write("  a  b ") == "▁a▁b" and drops.write("   ") == drops.write("") == "" and drops.write("a\n b") == "▁a\n▁b"
+    assert keeps.write(" a  b") == "▁▁a▁▁b" and keeps.write("") == ""
+
+
+def test_ids_beside_nulls_stay_exact(spark):
+    big = (1 << 53) + 1
+    rows = fst.encode(docs(spark, ["ab", None, "cd"], [big, None, 1])).collect()
+    assert sorted((r.doc_id or 0, r.n_ids > 0) for r in rows) == [(0, False), (1, True), (big, True)]
+
+
 def test_rows_and_round_trip(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=fst.DEFAULT_MODEL)
     frame = docs(spark, TEXTS, [*range(len(TEXTS) - 2), 3, 3], ["ids"])
