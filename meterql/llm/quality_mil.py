@@ -8,15 +8,17 @@ by a logistic unit. All weights, the attention's too, are learnt from document
 labels alone, by Adam on the log loss, in NumPy on the driver.
 
 The training set is a bounded sample: the `max_documents` labelled rows with
-the smallest hashes of doc_id among those not held out, each with at most
-`max_passages` passages, spread evenly. Scoring reads every passage of every
+the smallest hashes of doc_id among those not held out (of equal hashes the
+smallest ids), each with all its passages. Scoring reads every passage of every
 document; a document's score depends on its text alone.
 
 Defined edge cases: a null or empty text is one passage without words; rows
 without a label, or with a null one, do not train; several labels of a doc_id
 count as their maximum; repeated rows are scored row by row (and train as one, with
 the least of their texts); without any
-training row the score is 0.5; other columns are not read.
+training row the score is 0.5; a score equal to the threshold predicts 1; a row
+without a doc_id counts as an empty id, so it is held out and never
+trains; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 from meterql.llm.common import ASCII_SPACE, crc_mod, utf8
 
 PASSAGE, BUCKETS, HIDDEN, ATTENTION = 64, 32, 16, 8
-MAX_DOCUMENTS, MAX_PASSAGES, STEPS, RATE, DECAY = 3000, 24, 200, 0.02, 1e-4
+MAX_DOCUMENTS, STEPS, RATE, DECAY = 3000, 200, 0.02, 1e-4
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER, THRESHOLD = 5, 0, 0.3
 CHARS_AT_ONCE = 1 << 22
 
@@ -157,17 +159,8 @@ class Model:
         return out
 
 
-def _thinned(x: np.ndarray, bags: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most so many passages of each document, spread evenly."""
-    keep, at = [], 0
-    for n in bags.tolist():
-        keep.append(at + (np.arange(n) if n <= most else np.unique(np.linspace(0, n - 1, most).astype(np.int64))))
-        at += n
-    return x[np.concatenate(keep)], np.array([len(k) for k in keep], np.int64)
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", max_documents: int = MAX_DOCUMENTS,
-          max_passages: int = MAX_PASSAGES, modulus: int = HELD_OUT_MODULUS, remainder: int = HELD_OUT_REMAINDER) -> Model:
+          modulus: int = HELD_OUT_MODULUS, remainder: int = HELD_OUT_REMAINDER) -> Model:
     """A model of the bounded sample of labelled rows that aren't held out."""
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (crc_mod(key, modulus) != remainder))
     chosen = usable.groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label")).orderBy(F.xxhash64("key"), "key").limit(max_documents)
@@ -177,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
-                x, bags = _thinned(*featurise(part["text"]), max_passages)
+                x, bags = featurise(part["text"])
                 ends = np.cumsum(bags)
                 yield pd.DataFrame({"key": part["key"].astype(str), "label": part["label"].astype(float), "x": [x[e - n : e].astype("<f4").tobytes() for n, e in zip(bags, ends)]})
 

@@ -65,6 +65,25 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def test_passages_of_long_documents_all_train(spark):
+    frame = docs(spark, ["word " * 64 * 200, "a b"], [1, 2])
+    marks = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = mil.Model.fit
+    mil.Model.fit = lambda self, x, bags, labels, **k: seen.append(sorted(bags.tolist())) or fit(self, x, bags, labels, **k)
+    try:
+        mil.train(frame, marks)
+    finally:
+        mil.Model.fit = fit
+    assert seen == [[1, 200]]
+
+
+def test_ids_beside_nulls(spark):
+    big = (1 << 53) + 1
+    rows = mil.scores(docs(spark, ["a", "b"], [big, None]), mil.Model()).collect()
+    assert sorted((r.doc_id or 0, r.held_out) for r in rows) == [(0, True), (big, zlib.crc32(str(big).encode()) % 5 == 0)]
+
+
 def test_a_doc_id_of_many_rows_trains_as_one(spark):
     texts, labels = made(30)
     marks = spark.createDataFrame([(i, y, 0) for i, y in enumerate(labels)], "doc_id long, quality int, toxic int")
