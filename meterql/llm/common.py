@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows' characters that a Python worker turns into objects at a time.
 CHARS_AT_ONCE = 1 << 22
+#: Rows of one number each that may be broadcast.
+BROADCAST_ROWS = 1 << 20
 
 #: The characters that end a word in the `[^\x20\x09-\x0D]+` sense, as a regex class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -51,11 +53,28 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def joined_by(rows: DataFrame, few: DataFrame, on: str, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined (semi or anti) with a narrow written table: broadcast while it has at most `most` rows, else by sorting both."""
+    return rows.join(F.broadcast(few) if few.count() <= most else few.hint("merge"), on, how)
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the column's decimal text, modulo; null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def slices(texts: Sequence[str | None], chars: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts of about so many characters; a longer text is a run of its own."""
+    at = 0
+    while at < len(texts):
+        end, held = at + 1, len(texts[at] or "")
+        while end < len(texts) and held + len(texts[end] or "") <= chars:
+            held += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
+
+
 def by_rows(df: DataFrame, run: Callable[..., dict[str, list]], fields: str, chars: int = CHARS_AT_ONCE) -> DataFrame:
     """(first column, fields): run gets the other columns as lists, the first of them text, and returns fields as lists or Arrow arrays.
 
@@ -69,17 +88,10 @@ def by_rows(df: DataFrame, run: Callable[..., dict[str, list]], fields: str, cha
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            sizes = [len(x) if x is not None else 0 for x in batch.column(1).to_pylist()]
-            while at < batch.num_rows:
-                end, held = at + 1, sizes[at]
-                while end < batch.num_rows and held + sizes[end] <= chars:
-                    held += sizes[end]
-                    end += 1
+            for at, end in slices(batch.column(1).to_pylist(), chars):
                 part = batch.slice(at, end - at)
                 out = run(*[c.to_pylist() for c in part.columns[1:]])
                 columns = [part.column(0).cast(arrow.types[0]), *[x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in list(arrow)[1:]]]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-                at = end
 
     return df.mapInArrow(each, schema)
