@@ -1,15 +1,17 @@
 """Admission control: who may spend how much, and when.
 
 Limiters work on the driver in plain Python with an injected clock; the shared
-one leaves its state to a store that several drivers use.
+one leaves its state, and the clock, to a store that several drivers use.
 """
 
 from __future__ import annotations
 
 import math
+import sqlite3
 import threading
 import time
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -112,29 +114,24 @@ class SlidingWindow:
 
 
 class Store(Protocol):
-    """What several drivers share. `swap` writes only if the value is still the one that was read."""
+    """What several drivers share: one decision is one atomic step on the store's own clock."""
 
-    def read(self, key: str) -> tuple[float, float] | None: ...
+    def step(self, key: str, cost: int, quota: Quota) -> Decision: ...
 
-    def swap(self, key: str, old: tuple[float, float] | None, new: tuple[float, float], ttl: float) -> bool: ...
+
+def _lifetime(quota: Quota) -> float:
+    """Seconds for which a bucket is worth keeping: it outlives its refill by a second."""
+    return (quota.burst / quota.rate if quota.rate > 0 else 3600.0) + 1
 
 
 class SharedTokenBucket:
-    """Token buckets in a shared store, by compare-and-swap; entries outlive their refill by a second."""
+    """Token buckets in a shared store."""
 
-    def __init__(self, quotas: Quotas, store: Store, prefix: str = "meterql:", clock: Clock = time.time) -> None:
-        self.quotas, self.store, self.prefix, self.clock = quotas, store, prefix, clock
+    def __init__(self, quotas: Quotas, store: Store, prefix: str = "meterql:") -> None:
+        self.quotas, self.store, self.prefix = quotas, store, prefix
 
     def allow(self, tenant: str, cost: int) -> Decision:
-        _checked(cost)
-        quota, key = self.quotas.of(tenant), self.prefix + tenant
-        while True:
-            old, now = self.store.read(key), self.clock()
-            tokens, at = old or (float(quota.burst), now)
-            decision, left = bucket_step(tokens, now - at, cost, quota)
-            ttl = (quota.burst / quota.rate if quota.rate > 0 else 3600.0) + 1
-            if self.store.swap(key, old, (left, max(now, at)), ttl):
-                return decision
+        return self.store.step(self.prefix + tenant, _checked(cost), self.quotas.of(tenant))
 
 
 class MemoryStore:
@@ -142,49 +139,88 @@ class MemoryStore:
 
     def __init__(self, clock: Clock = time.time) -> None:
         self.clock, self._lock = clock, threading.Lock()
-        self._data: dict[str, tuple[tuple[float, float], float]] = {}
+        self._data: dict[str, tuple[float, float, float]] = {}  # tokens, at, until
 
-    def read(self, key: str) -> tuple[float, float] | None:
+    def step(self, key: str, cost: int, quota: Quota) -> Decision:
         with self._lock:
-            value, until = self._data.get(key, (None, 0.0))
-            return value if value is not None and until > self.clock() else None
+            now = self.clock()
+            tokens, at, until = self._data.get(key, (float(quota.burst), now, math.inf))
+            if until <= now:
+                tokens, at = float(quota.burst), now
+            decision, left = bucket_step(tokens, now - at, cost, quota)
+            self._data[key] = left, max(now, at), now + _lifetime(quota)
+            return decision
 
-    def swap(self, key: str, old: tuple[float, float] | None, new: tuple[float, float], ttl: float) -> bool:
-        with self._lock:
-            value, until = self._data.get(key, (None, 0.0))
-            if (value if value is not None and until > self.clock() else None) != old:
-                return False
-            self._data[key] = new, self.clock() + ttl
-            return True
+
+class FileStore:
+    """A store in one SQLite file, for services of one host: a step is a transaction that locks the file before it reads."""
+
+    def __init__(self, path: str, clock: Clock = time.time, wait_seconds: float = 30.0) -> None:
+        self.path, self.clock, self.wait = path, clock, wait_seconds
+        with self._open() as link:
+            link.execute("CREATE TABLE IF NOT EXISTS buckets (key TEXT PRIMARY KEY, tokens REAL NOT NULL, at REAL NOT NULL, until REAL NOT NULL)")
+
+    @contextmanager
+    def _open(self):
+        link = sqlite3.connect(self.path, timeout=self.wait, isolation_level=None)
+        try:
+            link.execute("BEGIN IMMEDIATE")
+            yield link
+            link.execute("COMMIT")
+        finally:
+            link.close()  # a transaction that has not got so far is undone
+
+    def step(self, key: str, cost: int, quota: Quota) -> Decision:
+        with self._open() as link:
+            now = self.clock()
+            tokens, at = link.execute("SELECT tokens, at FROM buckets WHERE key = ? AND until > ?", (key, now)).fetchone() or (float(quota.burst), now)
+            decision, left = bucket_step(tokens, now - at, cost, quota)
+            link.execute("INSERT OR REPLACE INTO buckets VALUES (?, ?, ?, ?)", (key, left, max(now, at), now + _lifetime(quota)))
+            return decision
+
+
+#: The step of bucket_step as a script that the server runs as one, on its own clock. Numbers are handed back as text, as the server cuts fractions off.
+REDIS_STEP = """
+local rate, burst, cost = tonumber(ARGV[1]), tonumber(ARGV[2]), tonumber(ARGV[3])
+local clock = redis.call('TIME')
+local now = tonumber(clock[1]) + tonumber(clock[2]) / 1000000
+local known = redis.call('HMGET', KEYS[1], 'tokens', 'at')
+local tokens, at = tonumber(known[1]) or burst, tonumber(known[2]) or now
+tokens = math.min(burst, tokens + math.max(0, now - at) * rate)
+local allowed = cost <= tokens
+if allowed then tokens = tokens - cost end
+redis.call('HSET', KEYS[1], 'tokens', string.format('%.17g', tokens), 'at', string.format('%.17g', math.max(now, at)))
+redis.call('PEXPIRE', KEYS[1], ARGV[4])
+return {allowed and 1 or 0, string.format('%.17g', tokens)}
+"""
 
 
 class RedisStore:
-    """The store over an injected Redis client (redis-py's interface): optimistic transactions under WATCH."""
+    """The store over a Redis client (redis-py's interface): a step is one script call."""
 
     def __init__(self, client) -> None:
         self.client = client
 
-    @staticmethod
-    def _parsed(raw) -> tuple[float, float] | None:
-        if raw is None:
-            return None
-        a, b = (raw.decode() if isinstance(raw, bytes) else raw).split(" ")
-        return float(a), float(b)
-
-    def read(self, key: str) -> tuple[float, float] | None:
-        return self._parsed(self.client.get(key))
-
-    def swap(self, key: str, old: tuple[float, float] | None, new: tuple[float, float], ttl: float) -> bool:
-        with self.client.pipeline() as pipe:
-            pipe.watch(key)
-            if self._parsed(pipe.get(key)) != old:
-                return False
-            pipe.multi()
-            pipe.set(key, f"{new[0]!r} {new[1]!r}", px=int(ttl * 1000))
-            try:
-                pipe.execute()
-            except Exception as e:
-                if type(e).__name__ == "WatchError":
-                    return False
+    def step(self, key: str, cost: int, quota: Quota) -> Decision:
+        allowed, text = self.client.eval(REDIS_STEP, 1, key, repr(float(quota.rate)), repr(float(quota.burst)), cost, int(_lifetime(quota) * 1000))
+        tokens = float(text)
+        wait = 0.0 if allowed or quota.rate <= 0 else (cost - tokens) / quota.rate
+        return Decision(bool(allowed), int(tokens), wait)
+
+
+def open_store(url: str) -> Store:
+    """A store by its address: file:PATH, redis://..., or memory: (one process)."""
+    kind, _, rest = url.partition(":")
+    if kind == "file" and rest:
+        return FileStore(rest.removeprefix("//"))
+    if kind == "memory":
+        return MemoryStore()
+    if kind in ("redis", "rediss"):
+        try:
+            import redis
+        except ModuleNotFoundError as e:
+            if e.name != "redis":
                 raise
-            return True
+            raise ValueError("a redis store needs the redis package") from None
+        return RedisStore(redis.Redis.from_url(url))
+    raise ValueError(f'unknown store "{url}" (file:PATH, redis://HOST or memory:)')

@@ -1,4 +1,8 @@
-"""Table statistics: exact counts by one Spark aggregation for the columns a price needs, kept for the catalog's life."""
+"""Table statistics: exact counts for the columns a price needs, in one Spark job, kept for the catalog's life.
+
+A column's values are grouped, added up before they are shuffled, and the groups counted: distinct values, nulls
+and bounds come from one grouping of that column alone, so no row is expanded once for each column.
+"""
 
 from __future__ import annotations
 
@@ -46,18 +50,30 @@ class StatsProvider:
             return known
 
     def _measure(self, frame: DataFrame, columns: list, known: TableStats | None) -> TableStats:
-        numeric = {f.name: f.dataType.typeName() in ("long", "double") for f in columns}
-        out = [F.count(F.lit(1)).alias("rows")]
-        for i, f in enumerate(columns):
-            c = F.col(f"`{f.name}`")
-            orderable = f.dataType.typeName() not in ("array", "map", "struct")
-            distinct = (F.approx_count_distinct(c) if self.approximate else F.count_distinct(c)) if orderable else F.lit(0).cast("bigint")
-            out += [distinct.alias(f"d{i}"), F.count(c).alias(f"n{i}")]
-            if numeric[f.name]:
-                out += [F.min(c).cast("double").alias(f"l{i}"), F.max(c).cast("double").alias(f"h{i}")]
-        row = frame.agg(*out).first()
+        numeric = [f.dataType.typeName() in ("long", "double") for f in columns]
+        parts = [self._column(frame, f, i, numeric[i]) for i, f in enumerate(columns)]
+        if not parts:
+            return TableStats(frame.count(), dict(known.columns) if known else {})
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.unionByName(p)
+        rows = {r.i: r for r in whole.collect()}  # one row a column
         found = dict(known.columns) if known else {}
         for i, f in enumerate(columns):
-            seen = numeric[f.name] and row[f"l{i}"] is not None
-            found[f.name.lower()] = ColumnStats(row[f"d{i}"], row["rows"] - row[f"n{i}"], seen, row[f"l{i}"] if seen else 0.0, row[f"h{i}"] if seen else 0.0)
-        return TableStats(row["rows"], found)
+            own = rows[i]
+            seen = numeric[i] and own.low is not None
+            found[f.name.lower()] = ColumnStats(own.distinct, own.rows - own.filled, seen, own.low if seen else 0.0, own.high if seen else 0.0)
+        return TableStats(rows[0].rows, found)
+
+    def _column(self, frame: DataFrame, field, i: int, numeric: bool) -> DataFrame:
+        """(i, rows, filled, distinct, low, high) of one column."""
+        value, count = F.col("v"), F.count(F.lit(1)).cast("bigint")
+        own = frame.select(F.col(f"`{field.name}`").alias("v"))
+        bounds = [(f(value) if numeric else F.lit(None)).cast("double").alias(n) for f, n in ((F.min, "low"), (F.max, "high"))]
+        if field.dataType.typeName() in ("array", "map", "struct"):
+            return own.agg(F.lit(i).alias("i"), count.alias("rows"), F.count(value).alias("filled"), F.lit(0).cast("bigint").alias("distinct"), *bounds)
+        if self.approximate:
+            return own.agg(F.lit(i).alias("i"), count.alias("rows"), F.count(value).alias("filled"), F.approx_count_distinct(value).alias("distinct"), *bounds)
+        groups = own.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+        return groups.agg(F.lit(i).alias("i"), total("n").alias("rows"), total(F.when(value.isNotNull(), F.col("n"))).alias("filled"), F.count(value).alias("distinct"), *bounds)

@@ -13,6 +13,10 @@ from meterql.service import config as settings
 from meterql.service.app import App, server
 
 
+def application(config: settings.Config, spark) -> App:
+    return App(Engine(spark, config.data_dir), config)
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="meterql-service")
     parser.add_argument("--addr", default=":8080")
@@ -25,14 +29,14 @@ def main(args: list[str] | None = None) -> int:
         config = dataclasses.replace(config, data_dir=given.data)
     from pyspark.sql import SparkSession
 
-    engine = Engine(SparkSession.builder.appName("meterql-service").getOrCreate(), config.data_dir)
+    app = application(config, SparkSession.builder.appName("meterql-service").getOrCreate())
     host, _, port = given.addr.rpartition(":")
-    http = server(App(engine, config), host or "0.0.0.0", int(port))
+    http = server(app, host or "0.0.0.0", int(port))
     for sign in (signal.SIGINT, signal.SIGTERM):
         signal.signal(sign, lambda *_: threading.Thread(target=http.shutdown).start())
     http.serve_forever()  # threads of requests under way are joined by close
     http.server_close()
-    engine.spark.stop()
+    app.engine.spark.stop()
     return 0
 
 

@@ -8,14 +8,15 @@ import math
 import secrets
 import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from meterql import __version__
 from meterql.admission import Limiter, tokens_for
-from meterql.engine import Engine, Prepared, Result
+from meterql.engine import Engine, Prepared, plain_row
 from meterql.errors import QueryError
 from meterql.service.config import Config
 from meterql.service.metrics import Event, Metrics
@@ -27,7 +28,7 @@ CORS = {"Access-Control-Allow-Origin": "*", "Access-Control-Allow-Methods": "GET
 @dataclass
 class Response:
     status: int
-    body: object = None  # JSON, or text as it is
+    body: object = None  # JSON, text as it is, or pieces of text to stream
     headers: dict[str, str] = field(default_factory=dict)
 
 
@@ -108,15 +109,34 @@ class App:
             note("throttled")
             return Response(429, {"error": "rate limit exceeded", "estimated_cost": prepared.price, "tokens_required": tokens, "remaining": decision.remaining, "retry_after_seconds": wait}, {"Retry-After": str(wait)})
         try:
-            result = self._run(prepared, request_id)
+            with self._tagged(request_id):
+                page = self.engine.page(prepared, self.config.page_rows)
         except Exception:
             note("error")
             raise
-        note("ok", len(result.rows))
-        return Response(200, result.to_json())
+        if page is not None:
+            note("ok", len(page.rows))
+            return Response(200, page.to_json())
+        return Response(200, self._pieces(prepared, request_id, note))
+
+    def _pieces(self, prepared: Prepared, request_id: str, note: Callable) -> Iterator[str]:
+        """The JSON of a large result, row by row; an error on the way ends it unclosed, which no reader takes for a whole answer."""
+        n = 0
+        try:
+            with self._tagged(request_id):
+                yield f'{{"columns": {json.dumps([f.to_json() for f in prepared.fields])}, "rows": ['
+                for row in self.engine.stream(prepared):
+                    yield (", " if n else "") + json.dumps(plain_row(row))
+                    n += 1
+                yield f'], "row_count": {n}}}'
+        except BaseException:
+            note("error", n)
+            raise
+        note("ok", n)
 
-    def _run(self, prepared: Prepared, request_id: str) -> Result:
-        """Runs under the request's tag, which a timeout interrupts."""
+    @contextmanager
+    def _tagged(self, request_id: str):
+        """Jobs run under the request's tag, which a timeout interrupts."""
         spark, limit = self.engine.spark, self.config.timeout_seconds
         tag = f"meterql-{request_id}".replace(",", "_")
         spark.addTag(tag)
@@ -124,7 +144,7 @@ class App:
         try:
             if timer:
                 timer.start()
-            return self.engine.execute(prepared)
+            yield
         finally:
             if timer:
                 timer.cancel()
@@ -155,6 +175,8 @@ def server(app: App, host: str = "127.0.0.1", port: int = 8080) -> ThreadingHTTP
         def _serve(self) -> None:
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
             response = app.handle(self.command, self.path, dict(self.headers.items()), body)
+            if isinstance(response.body, Iterator):
+                return self._stream(response)
             data = b"" if response.body is None else response.body.encode() if isinstance(response.body, str) else json.dumps(response.body).encode()
             self.send_response(response.status)
             for name, value in {"Content-Type": "application/json", **response.headers, "Content-Length": str(len(data))}.items():
@@ -162,6 +184,20 @@ def server(app: App, host: str = "127.0.0.1", port: int = 8080) -> ThreadingHTTP
             self.end_headers()
             self.wfile.write(data)
 
+        def _stream(self, response: Response) -> None:
+            self.send_response(response.status)
+            for name, value in {"Content-Type": "application/json", **response.headers, "Transfer-Encoding": "chunked"}.items():
+                self.send_header(name, value)
+            self.end_headers()
+            try:
+                for piece in response.body:
+                    data = piece.encode()
+                    self.wfile.write(b"%x\r\n%s\r\n" % (len(data), data))
+                self.wfile.write(b"0\r\n\r\n")
+            except Exception:
+                log.exception("a streamed answer was cut off")
+                self.close_connection = True
+
         do_GET = do_POST = do_OPTIONS = do_PUT = do_DELETE = _serve
 
         def log_message(self, text: str, *args: object) -> None:

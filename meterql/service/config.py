@@ -6,16 +6,19 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from meterql.admission import Limiter, Quota, Quotas, SharedTokenBucket, SlidingWindow, Store, TokenBucket
+from meterql.admission import Limiter, Quota, Quotas, SharedTokenBucket, SlidingWindow, Store, TokenBucket, open_store
 from meterql.errors import QueryError
 
-COST_PER_TOKEN = 10.0
+COST_PER_TOKEN, PAGE_ROWS = 10.0, 10_000
 LIMITERS = ("bucket", "window", "shared")
 
 
 @dataclass(frozen=True)
 class Config:
-    """limiter: bucket (in process), window (in process), or shared (a store given to the service)."""
+    """limiter: bucket (in process), window (in process), or shared (over the store that `store` addresses).
+
+    page_rows: results of more rows are streamed, a partition at a time.
+    """
 
     data_dir: str
     tenants: dict[str, str]  # by API key
@@ -23,14 +26,19 @@ class Config:
     cost_per_token: float = COST_PER_TOKEN
     limiter: str = "bucket"
     timeout_seconds: float = 0.0
+    store: str = ""
+    page_rows: int = PAGE_ROWS
     keys: dict = field(default_factory=dict)
 
     def make_limiter(self, store: Store | None = None, clock: Callable[[], float] | None = None) -> Limiter:
         given = {"clock": clock} if clock else {}
         if self.limiter == "shared":
-            if store is None:
+            if store is None and not self.store:
                 raise QueryError("config: the shared limiter needs a store")
-            return SharedTokenBucket(self.quotas, store, **given)
+            try:
+                return SharedTokenBucket(self.quotas, store or open_store(self.store))
+            except ValueError as e:
+                raise QueryError(f"config: {e}") from None
         return (SlidingWindow if self.limiter == "window" else TokenBucket)(self.quotas, **given)
 
 
@@ -54,7 +62,7 @@ def parse(text: str) -> Config:
         raw = json.loads(text)
     except ValueError as e:
         raise QueryError(f"parse config: {e}") from None
-    if unknown := set(raw) - {"data_dir", "default_quota", "api_keys", "cost_per_token", "limiter", "timeout_seconds"}:
+    if unknown := set(raw) - {"data_dir", "default_quota", "api_keys", "cost_per_token", "limiter", "timeout_seconds", "store", "page_rows"}:
         raise QueryError(f"config: unknown setting {min(unknown)!r}")
     if not raw.get("data_dir"):
         raise QueryError("config: data_dir is required")
@@ -74,7 +82,8 @@ def parse(text: str) -> Config:
         tenants[key], seen[tenant] = tenant, quota
         if quota:
             own[tenant] = quota
-    return Config(raw["data_dir"], tenants, Quotas(default, own), float(raw.get("cost_per_token") or COST_PER_TOKEN), raw.get("limiter", "bucket"), float(raw.get("timeout_seconds") or 0))
+    return Config(raw["data_dir"], tenants, Quotas(default, own), float(raw.get("cost_per_token") or COST_PER_TOKEN), raw.get("limiter", "bucket"), float(raw.get("timeout_seconds") or 0),
+                  str(raw.get("store") or ""), int(raw.get("page_rows") or PAGE_ROWS))
 
 
 def load(path: str) -> Config:

@@ -1,8 +1,14 @@
+import subprocess
+import sys
+import tempfile
 import threading
+from pathlib import Path
 
 import pytest
 
-from meterql.admission import MemoryStore, Quota, Quotas, RedisStore, SharedTokenBucket, SlidingWindow, TokenBucket, bucket_step, tokens_for
+from meterql.admission import REDIS_STEP, FileStore, MemoryStore, Quota, Quotas, RedisStore, SharedTokenBucket, SlidingWindow, TokenBucket, bucket_step, open_store, tokens_for
+
+ROOT = Path(__file__).resolve().parent.parent
 
 
 class Clock:
@@ -22,7 +28,7 @@ def test_waiting_time():
     assert bucket_step(2, 0, 7, Quota(10, 10))[0].retry_after == 0.5 and bucket_step(2, 0, 7, Quota(0, 10))[0].retry_after == 0
 
 
-@pytest.mark.parametrize("make", [lambda q, c: TokenBucket(q, c), lambda q, c: SharedTokenBucket(q, MemoryStore(c), clock=c)])
+@pytest.mark.parametrize("make", [lambda q, c: TokenBucket(q, c), lambda q, c: SharedTokenBucket(q, MemoryStore(c)), lambda q, c: SharedTokenBucket(q, FileStore(f"{tempfile.mkdtemp()}/b.db", c))])
 def test_buckets(make):
     clock = Clock()
     limiter = make(Quotas(Quota(1, 10), {"vip": Quota(1, 100)}), clock)
@@ -61,37 +67,40 @@ def test_tokens():
 
 
 class FakeRedis:
-    """As much of a client as the store uses."""
-
-    def __init__(self):
-        self.data, self.ttl = {}, {}
-
-    def get(self, key):
-        return self.data.get(key)
-
-    def pipeline(self):
-        return self
-
-    def __enter__(self):
-        return self
+    """A server that knows one script, run as one step on the server's clock."""
 
-    def __exit__(self, *_):
-        return False
+    def __init__(self, clock):
+        self.clock, self.data, self.ttl, self.calls = clock, {}, {}, []
 
-    def watch(self, key):
-        pass
-
-    def multi(self):
-        pass
-
-    def set(self, key, value, px):
-        self.data[key], self.ttl[key] = value.encode(), px
-
-    def execute(self):
-        pass
+    def eval(self, script, n_keys, key, rate, burst, cost, ttl):
+        assert script is REDIS_STEP and n_keys == 1
+        self.calls.append(key)
+        tokens, at = self.data.get(key, (float(burst), self.clock()))
+        decision, left = bucket_step(tokens, self.clock() - at, int(cost), Quota(float(rate), int(float(burst))))
+        self.data[key], self.ttl[key] = (left, max(at, self.clock())), ttl
+        return [int(decision.allowed), repr(left).encode()]
 
 
 def test_redis_store():
-    client = FakeRedis()
-    limiter = SharedTokenBucket(Quotas(Quota(2, 10)), RedisStore(client), clock=Clock())
-    assert limiter.allow("t", 4).remaining == 6 and limiter.allow("t", 7).allowed is False and client.ttl == {"meterql:t": 6000}
+    clock = Clock()
+    client = FakeRedis(clock)
+    limiter = SharedTokenBucket(Quotas(Quota(2, 10)), RedisStore(client))
+    assert limiter.allow("t", 4).remaining == 6 and client.ttl == {"meterql:t": 6000}
+    refused = limiter.allow("t", 7)
+    assert not refused.allowed and refused.retry_after == 0.5 and len(client.calls) == 2  # one call a decision, whatever the contention
+    clock.now += 0.5
+    assert limiter.allow("t", 7).allowed
+
+
+def test_stores_by_address(tmp_path):
+    assert isinstance(open_store("memory:"), MemoryStore) and isinstance(open_store(f"file:{tmp_path}/a.db"), FileStore)
+    for url, message in (("nope:x", "unknown store"), ("file:", "unknown store")):
+        with pytest.raises(ValueError, match=message):
+            open_store(url)
+
+
+def test_a_file_store_is_shared_by_processes(tmp_path):
+    path = f"{tmp_path}/buckets.db"
+    code = f"from meterql.admission import *; b = SharedTokenBucket(Quotas(Quota(0, 100)), FileStore({path!r})); print(sum(b.allow('t', 7).allowed for _ in range(10)))"
+    running = [subprocess.Popen([sys.executable, "-c", code], stdout=subprocess.PIPE, text=True, cwd=ROOT) for _ in range(4)]
+    assert sum(int(p.communicate(timeout=60)[0]) for p in running) == 100 // 7

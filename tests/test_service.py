@@ -90,6 +90,40 @@ def test_over_a_socket(app):
         http_server.server_close()
 
 
+def test_large_results_are_streamed(engine):
+    app = App(engine, settings.Config("", {"k": "acme"}, Quotas(Quota(0, 1000)), page_rows=5))
+    small = post(app, "/query", GROUPED)
+    assert small.body["row_count"] == 3
+    large = post(app, "/query", "SELECT id, name FROM orders ORDER BY id")
+    whole = json.loads("".join(large.body))
+    assert whole["row_count"] == 8 and [r[0] for r in whole["rows"]] == sorted(r[0] for r in whole["rows"]) and whole["columns"][0]["name"] == "id"
+    assert [e["rows"] for e in app.handle("GET", "/stats", KEY).body["recent"]] == [8, 3]
+    http_server = server(app, port=0)
+    threading.Thread(target=http_server.serve_forever, daemon=True).start()
+    try:
+        link = http.client.HTTPConnection(*http_server.server_address, timeout=60)
+        for _ in range(2):  # the connection stays usable
+            link.request("POST", "/query", json.dumps({"sql": "SELECT * FROM orders"}), KEY)
+            reply = link.getresponse()
+            assert reply.headers["Transfer-Encoding"] == "chunked" and len(json.loads(reply.read())["rows"]) == 8
+    finally:
+        http_server.shutdown()
+        http_server.server_close()
+
+
+def test_the_program_starts_with_a_shared_limiter(spark, tmp_path):
+    from meterql.service import __main__ as program
+
+    folder = write_tables(tmp_path)
+    (tmp_path / "c.json").write_text(json.dumps({"data_dir": folder, "api_keys": {"k": {"tenant": "t"}}, "limiter": "shared", "store": f"file:{tmp_path}/b.db", "default_quota": {"rate": 0, "burst": 5}}))
+    app = program.application(settings.load(str(tmp_path / "c.json")), spark)
+    other = App(app.engine, app.config)  # a second service over the same store
+    assert app.handle("GET", "/quota", KEY).body["remaining"] == 5
+    assert post(app, "/query", "SELECT id FROM orders LIMIT 1").status == 200 and other.handle("GET", "/quota", KEY).body["remaining"] == 3
+    with pytest.raises(QueryError, match="unknown store"):
+        settings.Config("", {}, Quotas(Quota(1, 1)), limiter="shared", store="x").make_limiter()
+
+
 def test_settings():
     good = settings.parse('{"data_dir": "d", "api_keys": {"a": {"tenant": "t", "quota": {"rate": 1, "burst": 5}}, "b": {"tenant": "t", "quota": {"rate": 1, "burst": 5}}, "c": {"tenant": "u"}}, "cost_per_token": 4, "limiter": "window"}')
     assert good.tenants == {"a": "t", "b": "t", "c": "u"} and good.quotas.of("t") == Quota(1, 5) and good.quotas.of("u") == Quota(10, 100) and type(good.make_limiter()).__name__ == "SlidingWindow"
