@@ -7,6 +7,8 @@ in different orders.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from meterql.admission import tokens_for
 from meterql.engine import Engine
+from meterql.errors import QueryError
 
 
 @dataclass(frozen=True)
@@ -108,6 +111,8 @@ ENTRIES: dict[str, Entry] = {
     "order_alias_aggregate": Entry("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 15"),
     "order_expression": Entry("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey - o_orderkey, o_orderkey LIMIT 25"),
     "limit_zero": Entry("SELECT * FROM region LIMIT 0", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region LIMIT 0"),
+    "order_all": Entry("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber",
+                       "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_extendedprice FROM lineitem"),
     "topk": Entry("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
     # whole queries
     "q1_like": Entry(_Q1, """SELECT l_returnflag, l_linestatus, round(SUM(l_quantity), 2) AS sum_qty, round(SUM(l_extendedprice), 2) AS sum_base, round(SUM(l_extendedprice * (1 - l_discount)), 2) AS sum_disc,
@@ -120,7 +125,63 @@ JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.
 }
 
 FLAGSHIP = "SELECT o_orderpriority, COUNT(*) AS n, SUM(o_totalprice) AS total FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderpriority ORDER BY total DESC"
-_STATS_TABLES = ("region", "nation", "customer", "supplier", "part", "orders")
+
+#: Columns of all tables: (numeric, other comparable, nested).
+_STATS_COLUMNS = {
+    "region": ("r_regionkey", "r_name", ""), "nation": ("n_nationkey n_regionkey", "n_name", ""), "customer": ("c_custkey c_nationkey c_acctbal", "c_name c_mktsegment", ""),
+    "supplier": ("s_suppkey s_nationkey s_acctbal", "s_name", ""), "part": ("p_partkey p_size p_retailprice", "p_name p_brand p_type", ""), "orders": ("o_orderkey o_custkey o_totalprice", "o_orderstatus o_orderdate o_orderpriority", ""),
+    "lineitem": ("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax", "l_returnflag l_linestatus l_shipdate", ""), "events": ("event_id user_id value", "ts event_type props", ""),
+    "documents": ("doc_id n_chars", "text lang source", ""), "embeddings": ("vec_id label", "", "embedding"), "pages": ("page_id", "url html", ""), "benchmark": ("item_id", "text", ""),
+    "labels": ("doc_id quality toxic", "", ""), "conversations": ("conv_id turn", "role text", ""),
+}
+
+#: Statements whose price the SQL works out from the tables' own counts: (name, statement, its price in SQL).
+_PRICED = (
+    ("scan all columns", "SELECT * FROM region", "(SELECT 2 * count(*) + count(*) FROM region)"),
+    ("scan two columns", "SELECT o_orderkey, o_totalprice FROM orders", "(SELECT 2 * count(*) + count(*) FROM orders)"),
+    ("equality", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'", "(SELECT 2 * n + n + greatest(1, floor(n * (1 / d))) FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT o_orderstatus) AS DOUBLE) AS d FROM orders))"),
+    ("inequality", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'", "(SELECT 2 * n + n + greatest(1, floor(n * (1 - 1 / d))) FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT o_orderstatus) AS DOUBLE) AS d FROM orders))"),
+    ("range", "SELECT o_totalprice FROM orders WHERE o_totalprice > 100000", "(SELECT n + n + greatest(1, floor(n * least(1, greatest(0, (hi - 100000) / (hi - lo))))) FROM (SELECT CAST(count(*) AS DOUBLE) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders))"),
+    ("both of two", "SELECT l_orderkey FROM lineitem WHERE l_quantity < 10 AND l_returnflag = 'R'",
+     "(SELECT 3 * n + n + greatest(1, floor(n * (((10 - lo) / (hi - lo)) * (1 / d)))) FROM (SELECT CAST(count(*) AS DOUBLE) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi, CAST(count(DISTINCT l_returnflag) AS DOUBLE) AS d FROM lineitem))"),
+    ("grouping", "SELECT o_orderpriority, COUNT(*) FROM orders GROUP BY o_orderpriority", "(SELECT count(*) + count(*) + count(DISTINCT o_orderpriority) FROM orders)"),
+    ("whole aggregate", "SELECT COUNT(*), MAX(o_totalprice) FROM orders", "(SELECT count(*) + count(*) + 1 FROM orders)"),
+    ("sort", "SELECT o_custkey FROM orders ORDER BY o_custkey", "(SELECT n + n + n * log2(n) FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM orders))"),
+    ("limit", "SELECT c_name FROM customer LIMIT 7", "(SELECT count(*) + count(*) + least(7, count(*)) FROM customer)"),
+    ("distinct", "SELECT DISTINCT l_returnflag FROM lineitem ORDER BY l_returnflag", "(SELECT n + n + CASE WHEN d > 1 THEN d * log2(d) ELSE 0 END FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT l_returnflag) AS DOUBLE) AS d FROM lineitem))"),
+    ("join, the smaller side built", "SELECT n.n_name, c.c_name FROM nation n JOIN customer c ON n.n_nationkey = c.c_nationkey",
+     "(SELECT 2 * small + 2 * large + (2 * small + large) + greatest(1, floor(small * large / keys)) FROM (SELECT CAST((SELECT count(*) FROM nation) AS DOUBLE) AS small, CAST((SELECT count(*) FROM customer) AS DOUBLE) AS large, CAST(greatest((SELECT count(DISTINCT n_nationkey) FROM nation), (SELECT count(DISTINCT c_nationkey) FROM customer)) AS DOUBLE) AS keys))"),
+)
+#: Plans as EXPLAIN shows them.
+_EXPLAINED = (
+    ("SELECT r_name FROM region", ("Project: r_name", "  Scan: region")),
+    ("SELECT DISTINCT n.n_name AS name FROM nation AS n WHERE n.n_regionkey = 1 LIMIT 3", ("Limit: 3", "  Project (DISTINCT): n.n_name AS name", "    Filter: n.n_regionkey = 1", "      Scan: nation AS n")),
+    ("SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY n DESC", ("Sort: n DESC", "  Project: c_mktsegment, COUNT(*) AS n", "    Aggregate: group by c_mktsegment; aggs COUNT(*)", "      Scan: customer")),
+    ("SELECT n.n_name FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey", ("Project: n.n_name", "  Join LEFT on n.n_regionkey = r.r_regionkey", "    Scan: nation AS n", "    Scan: region AS r")),
+)
+#: Statements that are refused, and why.
+_REFUSED = (
+    ("SELECT nope FROM region", 'SELECT: unknown column "nope"'),
+    ("SELECT r_name FROM nope", None),
+    ("SELECT n_name FROM nation a JOIN nation b ON a.n_nationkey = b.n_nationkey", 'SELECT: ambiguous column "n_name" (qualify it with a table name)'),
+    ("SELECT o_custkey, COUNT(*) FROM orders", 'SELECT: column "o_custkey" must appear in GROUP BY or be used in an aggregate'),
+    ("SELECT * FROM orders GROUP BY o_custkey", "'*' cannot be used with GROUP BY or aggregates"),
+    ("SELECT o_orderkey FROM orders WHERE o_orderstatus > 1", "WHERE: cannot compare STRING with INT64"),
+    ("SELECT o_orderkey FROM orders WHERE o_orderkey", "WHERE clause must be boolean, got INT64"),
+    ("SELECT o_orderkey FROM orders WHERE COUNT(*) > 1", "WHERE: aggregate COUNT is not allowed here"),
+    ("SELECT SUM(o_orderstatus) FROM orders", "SELECT: SUM requires a number, got STRING"),
+    ("SELECT SUM(o_orderkey, o_custkey) FROM orders", "SELECT: SUM expects exactly one argument"),
+    ("SELECT MEDIAN(o_orderkey) FROM orders", 'SELECT: unknown function "MEDIAN"'),
+    ("SELECT -o_orderstatus FROM orders", "SELECT: unary minus requires a number, got STRING"),
+    ("SELECT o_orderstatus + 1 FROM orders", "SELECT: + requires numbers, got STRING and INT64"),
+    ("SELECT x.* FROM orders", 'unknown table "x" in x.*'),
+    ("SELECT o_orderkey FROM orders ORDER BY o_custkey", 'ORDER BY o_custkey: unknown column "o_custkey" (only selected columns and aliases can be ordered by)'),
+    ("SELECT n_name FROM nation JOIN region ON n_regionkey > r_regionkey", "hash join supports only '=' conditions (optionally ANDed), got >"),
+)
+#: A file with every shape of cell: its lines, and what a reader makes of them.
+_CELLS = ("i,f,e,b,s,d,m,blank,mixed", "0,3.14,1e3,true,hello,2026-06-19,1,,1", "-42,2,-1E-2,FALSE,\"a, \"\"b\"\"\",2026-06-20,2.5,,true", "+7,.5,,False, x y ,not a date,,,x")
+_CELLS_SQL = """SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(3.14 AS DOUBLE), CAST(1000 AS DOUBLE), TRUE, 'hello', '2026-06-19', CAST(1 AS DOUBLE), CAST(NULL AS VARCHAR), '1'),
+(-42, 2, -0.01, FALSE, 'a, "b"', '2026-06-20', 2.5, NULL, 'true'), (7, 0.5, NULL, FALSE, 'x y ', 'not a date', NULL, NULL, 'x')) AS t(i, f, e, b, s, d, m, blank, mixed)"""
 
 
 def run(spark: SparkSession, sf_dir: str, entry: Entry) -> DataFrame:
@@ -130,9 +191,9 @@ def run(spark: SparkSession, sf_dir: str, entry: Entry) -> DataFrame:
 
 
 def stats_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of every column of the star schema's smaller tables."""
+    """Statistics of every column of every table."""
     engine, rows = Engine(spark, sf_dir), []
-    for table in _STATS_TABLES:
+    for table in _STATS_COLUMNS:
         fields = engine.table_schema(table)
         stats = engine.stats.get(table, [f.name for f in fields])
         for f in fields:
@@ -141,6 +202,66 @@ def stats_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, column_name string, row_count long, distinct_count long, null_count long, low double, high double")
 
 
+def price_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices that the SQL works out by itself."""
+    engine = Engine(spark, sf_dir)
+    return spark.createDataFrame([(name, round(float(engine.cost(sql)), 4)) for name, sql, _ in _PRICED], "statement string, price double")
+
+
+def explain_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans as text, a row for each line."""
+    engine = Engine(spark, sf_dir)
+    rows = [(k, i, line) for k, (sql, _) in enumerate(_EXPLAINED) for i, line in enumerate(engine.explain(sql).splitlines())]
+    return spark.createDataFrame(rows, "statement long, line_number long, line string")
+
+
+def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why statements are refused; none of them runs."""
+    engine, rows = Engine(spark, sf_dir), []
+    for k, (sql, message) in enumerate(_REFUSED):
+        try:
+            engine.prepare(sql)
+            rows.append((k, "accepted"))
+        except QueryError as e:
+            rows.append((k, str(e) if message else "refused"))  # a missing table's message names the directory
+    return spark.createDataFrame(rows, "statement long, message string")
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share; in a session within one process a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise QueryError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared.rstrip('/')}/csv-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="meterql-csv-")
+
+
+def _write_csv(spark: SparkSession, path: str, lines: tuple[str, ...]) -> None:
+    """A small file on any file system that Spark writes."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray("\n".join([*lines, ""]).encode()))
+    finally:
+        out.close()
+
+
+def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inferred types and parsed cells of a file with every shape of cell."""
+    folder = _scratch(spark)
+    _write_csv(spark, f"{folder}/cells.csv", _CELLS)
+    return Engine(spark, folder).dataframe("SELECT * FROM cells")
+
+
+def csv_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join and a grouping over tables that were written as CSV files."""
+    folder = _scratch(spark)
+    for table in ("nation", "region"):
+        frame = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        _write_csv(spark, f"{folder}/{table}.csv", (",".join(frame.columns), *(",".join('"' + str(v).replace('"', '""') + '"' for v in row) for row in frame.collect())))  # tables of a fixed size
+    return Engine(spark, folder).dataframe("SELECT r.r_name, COUNT(*) AS n, MIN(n.n_name) AS first, SUM(n.n_nationkey) AS keys FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name")
+
+
 def price_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price and tokens of every registered statement."""
     engine = Engine(spark, sf_dir)
@@ -155,19 +276,36 @@ def explain_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stats_sql() -> str:
-    numeric = {"region": ("r_regionkey",), "nation": ("n_nationkey", "n_regionkey"), "customer": ("c_custkey", "c_nationkey", "c_acctbal"), "supplier": ("s_suppkey", "s_nationkey", "s_acctbal"),
-               "part": ("p_partkey", "p_size", "p_retailprice"), "orders": ("o_orderkey", "o_custkey", "o_totalprice")}
-    other = {"region": ("r_name",), "nation": ("n_name",), "customer": ("c_name", "c_mktsegment"), "supplier": ("s_name",), "part": ("p_name", "p_brand", "p_type"), "orders": ("o_orderstatus", "o_orderdate", "o_orderpriority")}
-    one = "SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) AS row_count, COUNT(DISTINCT {c}) AS distinct_count, COUNT(*) - COUNT({c}) AS null_count, {lo} AS low, {hi} AS high FROM {t}"
-    parts = [one.format(t=t, c=c, lo=f"CAST(MIN({c}) AS DOUBLE)", hi=f"CAST(MAX({c}) AS DOUBLE)") for t, cs in numeric.items() for c in cs]
-    parts += [one.format(t=t, c=c, lo="CAST(NULL AS DOUBLE)", hi="CAST(NULL AS DOUBLE)") for t, cs in other.items() for c in cs]
+    one = "SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) AS row_count, {d} AS distinct_count, COUNT(*) - COUNT({c}) AS null_count, {lo} AS low, {hi} AS high FROM {t}"
+    none, parts = "CAST(NULL AS DOUBLE)", []
+    for t, (numeric, other, nested) in _STATS_COLUMNS.items():
+        parts += [one.format(t=t, c=c, d=f"COUNT(DISTINCT {c})", lo=f"CAST(MIN({c}) AS DOUBLE)", hi=f"CAST(MAX({c}) AS DOUBLE)") for c in numeric.split()]
+        parts += [one.format(t=t, c=c, d=f"COUNT(DISTINCT {c})", lo=none, hi=none) for c in other.split()]
+        parts += [one.format(t=t, c=c, d="CAST(0 AS BIGINT)", lo=none, hi=none) for c in nested.split()]
     return " UNION ALL ".join(parts)
 
 
+def _values(rows: list[tuple], columns: str) -> str:
+    text = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    kinds = ", ".join(f"CAST({c} AS {'BIGINT' if isinstance(v, int) else 'VARCHAR'}) AS {c}" for c, v in zip(columns.split(", "), rows[0]))
+    return f"SELECT {kinds} FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+_REPORTS = {"stats_table": stats_table, "price_report": price_report, "explain_report": explain_report, "price_core": price_core, "explain_core": explain_core,
+            "error_messages": error_messages, "csv_cells": csv_cells, "csv_nation": csv_nation}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda s, d, e=e: run(s, d, e)) for name, e in ENTRIES.items()}
-    return out | {"stats_table": stats_table, "price_report": price_report, "explain_report": explain_report}
+    return out | _REPORTS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: e.oracle or e.sql for name, e in ENTRIES.items()} | {"stats_table": _stats_sql()}
+    return {name: e.oracle or e.sql for name, e in ENTRIES.items()} | {
+        "stats_table": _stats_sql(),
+        "price_core": " UNION ALL ".join(f"SELECT '{name}' AS statement, round(CAST({price} AS DOUBLE), 4) AS price" for name, _, price in _PRICED),
+        "explain_core": _values([(k, i, line) for k, (_, lines) in enumerate(_EXPLAINED) for i, line in enumerate(lines)], "statement, line_number, line"),
+        "error_messages": _values([(k, message or "refused") for k, (_, message) in enumerate(_REFUSED)], "statement, message"),
+        "csv_cells": _CELLS_SQL,
+        "csv_nation": "SELECT r_name, COUNT(*) AS n, MIN(n_name) AS first, CAST(SUM(n_nationkey) AS BIGINT) AS keys FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+    }
