@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from meterql.llm.common import LOWER, cut, utf8
 
-SEED, SHINGLE, BITS, MAX_BITS, BUCKET_PAIRS, TASK_PRINTS = 42, 3, 64, 2, 128, 1 << 15
+SEED, SHINGLE, BITS, MAX_BITS, BUCKET_PAIRS, TASK_PRINTS, HOT_ROWS = 42, 3, 64, 2, 128, 1 << 15, 50_000
 _HASH = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
@@ -147,23 +147,37 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
+def _rooted(marked: DataFrame, max_bits: int, bucket_pairs: int) -> DataFrame:
+    """(fp, n, least_id, root) of all distinct fingerprints: n rows have it, the smallest id among them, and its component's smallest fingerprint."""
+    distinct = cut(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least_id")))
+    of = components(links(distinct, max_bits, bucket_pairs))
+    return distinct.join(of, F.col("fp") == F.col("node"), "left").select("fp", "n", "least_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row: 16 hex digits, and the smallest doc_id reachable."""
     marked = fingerprints(docs, key, text)
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    of = components(links(distinct, max_bits, bucket_pairs))
-    rooted = distinct.join(of, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = cut(_rooted(marked, max_bits, bucket_pairs))
     groups = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(groups, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = cut(rooted.join(groups, "root").select("fp", "n", "component_id"))
+    # Fingerprints of more than HOT_ROWS rows (of all empty texts, say) are few, at most one for each HOT_ROWS rows, so they are
+    # broadcast and their rows stay where they are; the others are joined by sorting.
+    hot = F.broadcast(named.where(F.col("n") > HOT_ROWS).select("fp", "component_id"))
+    rest = marked.join(hot, "fp", "left_anti").join(named.where(F.col("n") <= HOT_ROWS).select("fp", "component_id").hint("merge"), "fp")
+    found = marked.join(hot, "fp").unionByName(rest)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest id, once if rows repeat.
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+    """The rows of docs that stay: one of each component, of its smallest id and of that id's smallest fingerprint in the component.
 
-    A row without an id can neither stand for a group nor be named as a copy; it stays.
+    Of several such rows the least by its columns stays. Rows that share an id but no component all stay. A row without
+    an id can neither stand for a group nor be named as a copy; it stays. Columns must be orderable.
     """
-    found = near_duplicates(docs, key, text, **options)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    stay = docs.join(keep, key, "left_semi").dropDuplicates([key])
-    return stay.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = docs.where(F.col(key).isNotNull())
+    marked = fingerprints(named, key, text)
+    best = _rooted(marked, max_bits, bucket_pairs).groupBy("root").agg(F.min(F.struct("least_id", "fp")).alias("m")).select(F.col("m.least_id").alias("id"), F.col("m.fp").alias("fp"))
+    rows = named.select(F.col(key).alias("id"), _fingerprints(F.col(text).cast("string")).alias("fp"), columns)
+    stay = rows.join(best, ["id", "fp"], "left_semi").groupBy("id", "fp").agg(F.min("row").alias("row"))
+    return stay.select("row.*").unionByName(docs.where(F.col(key).isNull()))

@@ -88,5 +88,19 @@ def test_one_of_each_keeps_columns_and_one_row(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in got.collect()) == [(False, 2), (False, 9), (True, None)]
 
 
+def test_texts_that_share_an_id_are_not_lost(spark):
+    a, b = "one long text about a house by a river", "quite another text about the stones on a hill"
+    got = simhash.one_of_each(docs(spark, [a, b, a, a], [5, 5, 9, 5]))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(5, a), (5, b)]
+
+
+def test_hot_fingerprints_go_by_broadcast(spark, monkeypatch):
+    found = texts()
+    frame = docs(spark, found + [""] * 60)
+    want = sorted(map(tuple, simhash.near_duplicates(frame).collect()))
+    monkeypatch.setattr(simhash, "HOT_ROWS", 2)
+    assert sorted(map(tuple, simhash.near_duplicates(frame).collect())) == want and len(want) == len(found) + 60
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
