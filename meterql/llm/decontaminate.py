@@ -11,7 +11,8 @@ into removal spans.
 Memory: a shard has at most `shard_words` words, whatever a document's length;
 longer texts go on in the next shard, with an overlap of one window. The
 benchmark goes to the executors in blocks of at most `block_words` words, each
-a bounded broadcast, so its size is not limited by theirs.
+a bounded broadcast; a worker holds one block at a time, and reads it again from
+its executor's disk for the next batch if there are several.
 
 Defined edge cases: null or empty texts have no words and are never
 contaminated; items without words have no window; items of equal id count as
@@ -92,7 +93,7 @@ def scan(texts: Iterable[str | None], blocks: list, shard_words: int = SHARD_WOR
     for handle in blocks:
         block = handle.value if hasattr(handle, "value") else handle
         if not block["tables"]:
-            continue
+            continue  # items without words
         get = block["symbols"].get
         ids = np.zeros(total, np.int32)
         for start, words in zip(starts, tokens):
@@ -103,6 +104,9 @@ def scan(texts: Iterable[str | None], blocks: list, shard_words: int = SHARD_WOR
             owner = np.searchsorted(starts, np.repeat(places, many), "right") - 1
             for pair in np.unique(owner * len(block["names"]) + items).tolist() if len(items) else ():
                 found[pair // len(block["names"])].add(block["names"][pair % len(block["names"])])
+        if len(blocks) > 1 and hasattr(handle, "value"):
+            vars(handle).pop("_value", None)  # what a worker has read of a broadcast; it stays on disk
+        del block
     hit = np.cumsum(change[:-1]) > 0
     for start, size, items in zip(starts.tolist(), sizes.tolist(), found):
         edges = np.flatnonzero(np.diff(np.concatenate([[False], hit[start : start + size], [False]]).astype(np.int8)))
