@@ -59,7 +59,7 @@ DEFAULT_POLICY = "v1"
 
 
 def _measured(df: DataFrame, text: str) -> DataFrame:
-    """df with MEASURES as `__q_<name>` and the failure bits as `__q_bits`; df's own columns stay as they are."""
+    """df with MEASURES as `__q_<name>` and the failure bits as `__q_bits`; df has no such names of its own."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     out = df.withColumn("__q_text", body)
     out = out.withColumn("__q_words", F.expr(rf"filter(split(__q_text, r'{SPACE_CLASS}+'), w -> w != '')"))
@@ -121,10 +121,9 @@ def ablation(entries: DataFrame, policy: str | int = DEFAULT_POLICY) -> DataFram
     mask = POLICIES[policy] if isinstance(policy, str) else int(policy)
     patterns = entries.groupBy("failed_bits").agg(F.count(F.lit(1)).alias("n"))
     used = [r for r in RULES if mask >> r.bit & 1]
-    rules = patterns.sparkSession.createDataFrame([(r.name, 1 << r.bit) for r in used], "rule string, bit long")
+    rules = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("long").alias("bit")) for r in used])).alias("r")
     hit, others = F.col("failed_bits").bitwiseAND(F.col("bit")) != 0, F.col("failed_bits").bitwiseAND(F.lit(mask)).bitwiseAND(F.bitwise_not("bit"))
-    # A stated set of rules against the bit patterns, not a join of documents.
-    joined = patterns.join(F.broadcast(rules), F.lit(True))
+    joined = patterns.select("failed_bits", "n", rules).select("failed_bits", "n", "r.rule", "r.bit")
     return joined.groupBy("rule", "bit").agg(
         F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("n_failed"),
         F.sum(F.when(hit & (others == 0), F.col("n")).otherwise(0)).alias("n_only_this"),
@@ -132,9 +131,12 @@ def ablation(entries: DataFrame, policy: str | int = DEFAULT_POLICY) -> DataFram
 
 
 def keep_good(docs: DataFrame, policy: str | int = DEFAULT_POLICY, text: str = "text") -> DataFrame:
-    """The rows that a policy keeps, with the input's columns only."""
+    """The rows that a policy keeps, with the input's columns only, whatever their names."""
     mask = BASE_MASK | (POLICIES[policy] if isinstance(policy, str) else int(policy))
-    return _measured(docs, text).where(F.col("__q_bits").bitwiseAND(F.lit(mask)) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The caller's columns stand in a struct meanwhile, so that none can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("__q_in"))
+    kept = _measured(rows, "__q_in").where(F.col("__q_bits").bitwiseAND(F.lit(mask)) == 0)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 _SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -159,3 +161,14 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
       FROM d LEFT JOIN cov USING (r) LEFT JOIN adj USING (r)),
 b AS (SELECT *, CAST({bits} AS BIGINT) AS failed_bits FROM m)
 SELECT *, (failed_bits & {BASE_MASK}) <> 0 AS base_failed, (failed_bits & {BASE_MASK | POLICIES[policy]}) = 0 AS kept FROM b"""
+
+
+def ablation_sql(policy: str = DEFAULT_POLICY, source: str = "documents") -> str:
+    """The ablation in DuckDB's SQL, document by document."""
+    mask = POLICIES[policy]
+    rules = ", ".join(f"('{r.name}', CAST({1 << r.bit} AS BIGINT))" for r in RULES if mask >> r.bit & 1)
+    hit, others = "(failed_bits & bit) <> 0", f"(failed_bits & {mask} & ~bit) = 0"
+    count = "CAST(COUNT(CASE WHEN {} THEN 1 END) AS BIGINT) AS {}"
+    return f"""WITH judged AS ({ledger_sql(policy, source)})
+SELECT rule, bit, {count.format(f'({hit})', 'n_failed')}, {count.format(f'({hit}) AND ({others})', 'n_only_this')}, {count.format(f'({others})', 'n_kept_without')}
+FROM judged, (VALUES {rules}) AS r(rule, bit) GROUP BY rule, bit"""

@@ -51,6 +51,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(quality_rules.ledger(read(spark, sf_dir, "documents")))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy rejects, alone and beside the others."""
+    return quality_rules.ablation(quality_rules.ledger(read(spark, sf_dir, "documents")))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences stated in every document."""
     return licenses.findings(read(spark, sf_dir, "documents"))
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html_tree": op6_html_tree,
         "op7_secrets": op7_secrets,
         "op8_quality_rules": op8_quality_rules,
+        "quality_ablation": quality_ablation,
         "op9_licenses": op9_licenses,
         "op10_simhash": op10_simhash,
     }
@@ -81,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": decontaminate.contamination_sql(),
         "op5_substring_dedup": substring_dedup.repeats_sql(),
         "op8_quality_rules": quality_rules.ledger_sql(),
+        "quality_ablation": quality_rules.ablation_sql(),
     }
