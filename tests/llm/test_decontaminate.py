@@ -74,3 +74,11 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], BENCH)
     assert dec.contamination(docs(spark, []), none).collect() == []
     assert [r.n_hit for r in dec.contamination(docs(spark, ["a b"]), none).collect()] == [0]
+
+
+def test_ids_beside_nulls_and_several_blocks(spark):
+    big, words = (1 << 53) + 1, "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([(i, f"{words} {i}") for i in range(6)], BENCH)
+    frame = docs(spark, [f"x {words} 3 y", "clean", None], [big, None, 7])
+    got = dec.contamination(frame, bench, block_words=5).collect()
+    assert sorted((r.doc_id or 0, r.n_hit, len(r.items)) for r in got) == [(0, 0, 0), (7, 0, 0), (big, 12, 6)]

@@ -65,3 +65,14 @@ def test_no_python_in_the_plan(spark):
     frame = rules.judge(rules.ledger(docs(spark, ["a"])))
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_columns_of_any_name_pass(spark):
+    frame = docs(spark, texts()[:6], extra=["__q_text", "__q_bits", "row", "n_words"])
+    out = rules.keep_good(frame)
+    assert out.columns == frame.columns and {(r["__q_text"], r["__q_bits"], r["row"], r["n_words"]) for r in out.collect()} <= {("x", "x", "x", "x")}
+
+
+def test_ids_beside_nulls(spark):
+    big = (1 << 53) + 1
+    assert {r.doc_id for r in rules.ledger(docs(spark, ["a", "b"], [big, None])).collect()} == {big, None}
