@@ -15,9 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterql.admission import tokens_for
+from meterql.admission import Quota, bucket_step, tokens_for
 from meterql.engine import Engine
 from meterql.errors import QueryError
+from meterql.front.parse import parse
 
 
 @dataclass(frozen=True)
@@ -178,6 +179,24 @@ _REFUSED = (
     ("SELECT o_orderkey FROM orders ORDER BY o_custkey", 'ORDER BY o_custkey: unknown column "o_custkey" (only selected columns and aliases can be ordered by)'),
     ("SELECT n_name FROM nation JOIN region ON n_regionkey > r_regionkey", "hash join supports only '=' conditions (optionally ANDed), got >"),
 )
+#: Two small files, and the published prices of four statements over them: 8 orders of 3 names at 40 to 500, 3 customers.
+_SAMPLE = {
+    "orders": ("id,name,amount,status", "1,Alice,120.5,paid", "2,Bob,75,pending", "3,Alice,310,paid", "4,Carol,40,pending", "5,Bob,220,paid", "6,Alice,95.25,pending", "7,Carol,500,paid", "8,Bob,180,paid"),
+    "customers": ("name,city,tier", "Alice,Seattle,gold", "Bob,Portland,silver", "Carol,Denver,gold"),
+}
+_PUBLISHED = (
+    ("SELECT name, COUNT(*) FROM orders GROUP BY name", 19), ("SELECT name FROM orders WHERE amount > 100", 30), ("SELECT * FROM orders", 40),
+    ("SELECT o.name, c.city FROM orders o JOIN customers c ON o.name = c.name WHERE o.amount > 100", 48),
+)
+#: Statements and their canonical text.
+_WRITTEN = (
+    ("select * from t", "SELECT * FROM t"), ("SELECT a.x AS y, b.* FROM t a INNER JOIN u AS b ON a.i = b.i;", "SELECT a.x AS y, b.* FROM t AS a JOIN u AS b ON a.i = b.i"),
+    ("SELECT x FROM t LEFT OUTER JOIN u ON t.i = u.i", "SELECT x FROM t LEFT JOIN u ON t.i = u.i"), ("SELECT DISTINCT a FROM t WHERE (a <> 1 OR b) AND NOT (c = 2 OR d)", "SELECT DISTINCT a FROM t WHERE (a != 1 OR b) AND NOT (c = 2 OR d)"),
+    ("SELECT a - (b - c) - d, (a + b) * c / -e FROM t", "SELECT a - (b - c) - d, (a + b) * c / -e FROM t"), ("SELECT COUNT(DISTINCT x), sum(a*b) FROM t GROUP BY c, d+1 ORDER BY c ASC, 2 DESC LIMIT 7", "SELECT COUNT(DISTINCT x), sum(a * b) FROM t GROUP BY c, d + 1 ORDER BY c, 2 DESC LIMIT 7"),
+    ("SELECT 'it''s', .5, 1e3, TRUE, null FROM t -- note\n/* more */ WHERE x = - -5", "SELECT 'it''s', 0.5, 1000.0, TRUE, NULL FROM t WHERE x = -(-5)"),
+)
+#: Token bucket at rate 10 and burst 10: (tokens, seconds since, cost, allowed, whole tokens left).
+_STEPS = ((10.0, 0.0, 4, True, 6), (3.0, 0.0, 3, True, 0), (2.0, 0.0, 5, False, 2), (0.0, 0.5, 5, True, 0), (0.0, 10.0, 1, True, 9), (10.0, 0.0, 20, False, 10), (5.0, -3.0, 5, True, 0))
 #: A file with every shape of cell: its lines, and what a reader makes of them.
 _CELLS = ("i,f,e,b,s,d,m,blank,mixed", "0,3.14,1e3,true,hello,2026-06-19,1,,1", "-42,2,-1E-2,FALSE,\"a, \"\"b\"\"\",2026-06-20,2.5,,true", "+7,.5,,False, x y ,not a date,,,x")
 _CELLS_SQL = """SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(3.14 AS DOUBLE), CAST(1000 AS DOUBLE), TRUE, 'hello', '2026-06-19', CAST(1 AS DOUBLE), CAST(NULL AS VARCHAR), '1'),
@@ -246,6 +265,33 @@ def _write_csv(spark: SparkSession, path: str, lines: tuple[str, ...]) -> None:
         out.close()
 
 
+def published_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices over two small CSV files, as they are published, and the tokens they take."""
+    folder = _scratch(spark)
+    for table, lines in _SAMPLE.items():
+        _write_csv(spark, f"{folder}/{table}.csv", lines)
+    engine = Engine(spark, folder)
+    return spark.createDataFrame([(k, int(cost), tokens_for(cost)) for k, (sql, _) in enumerate(_PUBLISHED) for cost in [engine.cost(sql)]], "statement long, price long, tokens long")
+
+
+def canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements as the parser writes them back."""
+    return spark.createDataFrame([(k, str(parse(sql))) for k, (sql, _) in enumerate(_WRITTEN)], "statement long, text string")
+
+
+def admission_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of a token bucket."""
+    found = [(k, bucket_step(tokens, elapsed, cost, Quota(10, 10))[0]) for k, (tokens, elapsed, cost, _, _) in enumerate(_STEPS)]
+    return spark.createDataFrame([(k, d.allowed, d.remaining) for k, d in found], "step long, allowed boolean, remaining long")
+
+
+def schema_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables and columns of the catalog with the dialect's types."""
+    engine = Engine(spark, sf_dir)
+    rows = [(t, i, f.name, f.type) for t in engine.tables() if t in _STATS_COLUMNS for i, f in enumerate(engine.table_schema(t))]
+    return spark.createDataFrame(rows, "table_name string, place long, column_name string, type string")
+
+
 def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inferred types and parsed cells of a file with every shape of cell."""
     folder = _scratch(spark)
@@ -292,7 +338,8 @@ def _values(rows: list[tuple], columns: str) -> str:
 
 
 _REPORTS = {"stats_table": stats_table, "price_report": price_report, "explain_report": explain_report, "price_core": price_core, "explain_core": explain_core,
-            "error_messages": error_messages, "csv_cells": csv_cells, "csv_nation": csv_nation}
+            "error_messages": error_messages, "csv_cells": csv_cells, "csv_nation": csv_nation,
+            "published_prices": published_prices, "canonical_text": canonical_text, "admission_steps": admission_steps, "schema_table": schema_table}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -307,5 +354,10 @@ def oracle_sql() -> dict[str, str]:
         "explain_core": _values([(k, i, line) for k, (_, lines) in enumerate(_EXPLAINED) for i, line in enumerate(lines)], "statement, line_number, line"),
         "error_messages": _values([(k, message or "refused") for k, (_, message) in enumerate(_REFUSED)], "statement, message"),
         "csv_cells": _CELLS_SQL,
+        "published_prices": _values([(k, price, -(-price // 10)) for k, (_, price) in enumerate(_PUBLISHED)], "statement, price, tokens"),
+        "canonical_text": _values([(k, text) for k, (_, text) in enumerate(_WRITTEN)], "statement, text"),
+        "admission_steps": "SELECT CAST(step AS BIGINT) AS step, allowed, CAST(remaining AS BIGINT) AS remaining FROM (VALUES " + ", ".join(f"({k}, {ok}, {left})" for k, (*_, ok, left) in enumerate(_STEPS)) + ") AS t(step, allowed, remaining)",
+        "schema_table": f"""SELECT table_name, CAST(ordinal_position - 1 AS BIGINT) AS place, column_name, CASE WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'INT64' WHEN data_type = 'DOUBLE' THEN 'FLOAT64' WHEN data_type = 'VARCHAR' THEN 'STRING'
+WHEN data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP_NTZ' WHEN data_type = 'FLOAT[]' THEN 'ARRAY<FLOAT>' ELSE data_type END AS type FROM information_schema.columns WHERE table_name IN ({', '.join(f"'{t}'" for t in _STATS_COLUMNS)})""",
         "csv_nation": "SELECT r_name, COUNT(*) AS n, MIN(n_name) AS first, CAST(SUM(n_nationkey) AS BIGINT) AS keys FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     }
