@@ -45,13 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterql.llm.chunks import BLOCK_WORDS, CHUNK_CHARS, n_blocks, packed, unpack
-from meterql.llm.common import LOWER, crc_mod, cut, utf8
+from meterql.llm.common import LOWER, crc_mod, cut, slices, utf8
 
 ORDER, SHARE = 5, 1 << 62  # a context is kept from one in `SHARE` of all symbols: all are
 NEAR = 2  # last symbols of a context by which its grams are gathered
 MARK, SYMBOLS, WIDTH = 256, 257, 9  # the mark starts contexts and ends texts; bits of a symbol in a gram
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 7, 2
-LANE, GRAMS_HELD = 256, 1_000_000
+LANE, GRAMS_HELD, GROUP_GRAMS = 256, 1_000_000, 50_000
+#: Characters whose grams stand in memory one by one; of the rest of a chunk only the distinct ones do.
+PIECE_CHARS = 1 << 20
 
 
 def symbols_of(texts: Iterable[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +71,18 @@ def symbols_of(texts: Iterable[str | None], order: int) -> tuple[np.ndarray, np.
 def gram_stream(texts: Iterable[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
     """(grams, sizes): the (context, symbol) grams of texts in order, packed into integers; sizes count each text's."""
     stream, sizes = symbols_of(texts, order)
-    keys = np.zeros(max(0, len(stream) - order), np.int64)
-    for k in range(order + 1):
-        keys = keys << WIDTH | stream[k : k + len(keys)].astype(np.int64)
+    n = max(0, len(stream) - order)
+    block, have, keys, done = stream.astype(np.int64), 1, np.zeros(n, np.int64), 0
+    while True:  # blocks of 1, 2, 4 ... symbols make up order + 1 of them
+        if order + 1 & have:
+            keys <<= WIDTH * have
+            keys |= block[done : done + n]
+            done += have
+        if 2 * have > order + 1:
+            break
+        longer = block[: len(block) - have] << WIDTH * have
+        longer |= block[have:]
+        block, have = longer, 2 * have
     starts = np.cumsum(sizes + order) - sizes - order
     use = np.zeros(len(stream) + 1, np.int64)
     np.add.at(use, starts, 1)
@@ -79,6 +90,25 @@ def gram_stream(texts: Iterable[str | None], order: int) -> tuple[np.ndarray, np
     return keys[np.cumsum(use)[: len(keys)] > 0], sizes
 
 
+def distinct_counts(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct grams in order, sums of their counts); counts of 0 or 1 ride in the lowest bit, so one sort of numbers does."""
+    key = np.sort(grams << 1 | counts)
+    gram = key >> 1
+    first = np.flatnonzero(np.diff(gram, prepend=-1))
+    ones = np.concatenate([[0], np.cumsum(key & 1)])
+    return gram[first], ones[np.append(first[1:], len(gram))] - ones[first]
+
+
+def distinct_grams(texts: list[str | None], order: int) -> np.ndarray:
+    """The distinct grams of texts in order, a piece of the texts at a time."""
+    found = []
+    for a, b in slices(texts, PIECE_CHARS):
+        keys = np.sort(gram_stream(texts[a:b], order)[0])
+        found.append(keys[np.flatnonzero(np.diff(keys, prepend=-1))])
+    keys = np.sort(np.concatenate(found))
+    return keys[np.flatnonzero(np.diff(keys, prepend=-1))]
+
+
 def adaptive_log10(text: str | None, order: int = ORDER) -> float:
     """log10 probability of a text by a model that starts empty and learns each symbol after it is paid for."""
     counts: dict[bytes | tuple, dict[int, int]] = {}
@@ -172,11 +202,14 @@ def gram_counts(chunks: DataFrame, order: int = ORDER) -> DataFrame:
         for part in parts:
             for data in part["data"]:
                 rows = unpack(data)
-                new, sizes = gram_stream(rows["text"], order)
-                new, at = np.unique(new, return_inverse=True)
-                n = np.bincount(at[np.repeat(rows["train"].to_numpy(bool), sizes)], minlength=len(new))
-                keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+                texts, train, found = rows["text"].tolist(), rows["train"].to_numpy(np.int64), [(keys, counts)]
+                for a, b in slices(texts, PIECE_CHARS):
+                    new, sizes = gram_stream(texts[a:b], order)
+                    found.append(distinct_counts(new, np.repeat(train[a:b], sizes)))
+                every, n = np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])
+                by = np.argsort(every, kind="stable")
+                first = np.flatnonzero(np.diff(every[by], prepend=-1))
+                keys, counts = every[by][first], np.add.reduceat(n[by], first) if len(first) else counts
                 if len(keys) > GRAMS_HELD:
                     yield pd.DataFrame({"gram": keys, "n": counts})
                     keys, counts = keys[:0], counts[:0]
@@ -248,23 +281,21 @@ def cost_table(chunks: DataFrame, order: int = ORDER) -> DataFrame:
         grams = part["gram"].to_numpy()
         return pd.DataFrame({"gram": grams, "cost": gram_costs(grams, part["n"].to_numpy(), order, short).astype(np.float32)})
 
-    ending = F.shiftright("gram", WIDTH).bitwiseAND(F.lit((1 << WIDTH * near) - 1))
-    return full.groupBy(ending.alias("ending")).applyInPandas(costs, "gram long, cost float")
+    # Grams that end their contexts alike stay together; groups of them hold some `GROUP_GRAMS`.
+    ending = F.xxhash64(F.shiftright("gram", WIDTH).bitwiseAND(F.lit((1 << WIDTH * near) - 1)))
+    groups = max(1, -(-full.count() // GROUP_GRAMS))
+    return full.groupBy(F.pmod(ending, F.lit(groups)).alias("ending")).applyInPandas(costs, "gram long, cost float")
 
 
 def _gram_block(grams: np.ndarray, blocks: int) -> np.ndarray:
     return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
 
 
-def _asked(texts: Iterable[str | None], order: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct grams by block, their blocks, where each gram of the texts stands among them, sizes)."""
-    stream, sizes = gram_stream(texts, order)
-    keys, at = np.unique(stream, return_inverse=True)
-    block = _gram_block(keys, blocks)
-    by = np.argsort(block, kind="stable")
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.arange(len(by))
-    return keys[by], block[by], rank[at], sizes
+def _by_block(grams: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by block and then by gram, the blocks in that order) of distinct grams in order."""
+    block = _gram_block(grams, blocks)
+    by = np.argsort(block.astype(np.uint16) if blocks <= 1 << 16 else block, kind="stable")
+    return by, block[by]
 
 
 def gram_answers(chunks: DataFrame, table: DataFrame, order: int, blocks: int) -> DataFrame:
@@ -273,7 +304,9 @@ def gram_answers(chunks: DataFrame, table: DataFrame, order: int, blocks: int) -
     def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for chunk, data in zip(part["chunk"], part["data"]):
-                keys, block, _, _ = _asked(unpack(data)["text"], order, blocks)
+                keys = distinct_grams(unpack(data)["text"].tolist(), order)
+                by, block = _by_block(keys, blocks)
+                keys = keys[by]
                 edges = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
                 yield pd.DataFrame([(chunk, int(block[a]), keys[a:b].tobytes()) for a, b in zip(edges, [*edges[1:], len(block)])], columns=["chunk", "block", "grams"])
 
@@ -371,11 +404,18 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: in
                 counts[words.order[a:b]] = given[block]
             starts = np.cumsum(words.sizes) - words.sizes
             logs = np.log10((counts + 1) / (n_tokens + n_words + 1))[words.ids]
-            _, asked, at, sizes = _asked(rows["text"], order, blocks)
-            own_costs = np.concatenate([of_grams[b] for b in np.unique(asked).tolist()]).astype(np.float64)[at]
+            texts = rows["text"].tolist()
+            keys = distinct_grams(texts, order)
+            by, asked = _by_block(keys, blocks)
+            table, scored = np.empty(len(keys)), []
+            table[by] = np.concatenate([of_grams[b] for b in np.unique(asked).tolist()])
+            for a, b in slices(texts, PIECE_CHARS):
+                stream, sizes = gram_stream(texts[a:b], order)
+                at, own = pd.factorize(stream)
+                scored.append(np.add.reduceat(table[np.searchsorted(keys, own)][at], np.cumsum(sizes) - sizes))
             out.append(pd.DataFrame({
                 key: rows["key"], "held_out": ~rows["train"].to_numpy(bool), "n_tokens": words.sizes, "n_known": np.add.reduceat((counts > 0)[words.ids].astype(np.int64), starts),
-                "train_tokens": n_tokens, "base_score": np.add.reduceat(logs, starts), "score": np.add.reduceat(own_costs, np.cumsum(sizes) - sizes),
+                "train_tokens": n_tokens, "base_score": np.add.reduceat(logs, starts), "score": np.concatenate(scored),
             }))
         return pd.concat(out) if out else pd.DataFrame(columns=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from meterql.llm import ppm
@@ -104,3 +105,20 @@ def test_every_context_of_the_corpus_counts(spark, order):
     assert sum(len(t) + 1 for t in train) > 16384  # so that a share of all symbols leaves contexts out
     got = sorted(ppm.scores(docs(spark, found, ids), order=order, chunk_chars=9000, block_words=900).collect())
     assert [r.score for r in got] == pytest.approx([brute_score(t, contexts, order) for t in found], rel=1e-5)
+
+
+def test_ids_beside_nulls_stay_exact(spark):
+    big = (1 << 53) + 1
+    got = ppm.scores(docs(spark, ["a b", None, "c"] + [""] * 50, [big, None, 3] + [4] * 50)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got)[:2] == [(0, 1), (3, 2)] and max(r.doc_id or 0 for r in got) == big
+
+
+def test_distinct_counts_against_a_plain_count():
+    rng = random.Random(3)
+    grams = [rng.randrange(1 << 54) if rng.random() < 0.2 else rng.randrange(9) for _ in range(500)]
+    train = [rng.randrange(2) for _ in grams]
+    want = Counter()
+    for g, t in zip(grams, train):
+        want[g] += t
+    got = ppm.distinct_counts(np.array(grams), np.array(train))
+    assert list(zip(got[0].tolist(), got[1].tolist())) == sorted(want.items()) and len(ppm.distinct_counts(np.zeros(0, np.int64), np.zeros(0, np.int64))[0]) == 0
