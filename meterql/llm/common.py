@@ -75,23 +75,28 @@ def slices(texts: Sequence[str | None], chars: int = CHARS_AT_ONCE) -> Iterator[
         at = end
 
 
-def by_rows(df: DataFrame, run: Callable[..., dict[str, list]], fields: str, chars: int = CHARS_AT_ONCE) -> DataFrame:
+def by_rows(df: DataFrame, run: Callable[..., dict[str, list]], fields: str, chars: int = CHARS_AT_ONCE, done: Callable[[], None] | None = None) -> DataFrame:
     """(first column, fields): run gets the other columns as lists, the first of them text, and returns fields as lists or Arrow arrays.
 
     The first column passes through as Arrow has it, so no id changes, whatever
     its type and whether nulls stand beside it. Rows go to run in slices of
-    about `chars` characters.
+    about `chars` characters; done is called at the end of each task.
     """
     key, spark = df.schema[0], df.sparkSession
     schema = T.StructType([key, *spark.createDataFrame([], fields).schema])
     arrow = to_arrow_schema(schema)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, end in slices(batch.column(1).to_pylist(), chars):
-                part = batch.slice(at, end - at)
-                out = run(*[c.to_pylist() for c in part.columns[1:]])
-                columns = [part.column(0).cast(arrow.types[0]), *[x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in list(arrow)[1:]]]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        try:
+            for batch in batches:
+                for at, end in slices(batch.column(1).to_pylist(), chars):
+                    part = batch.slice(at, end - at)
+                    out = run(*[c.to_pylist() for c in part.columns[1:]])
+                    columns = [part.column(0).cast(arrow.types[0]), *[x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in list(arrow)[1:]]]
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        finally:
+            if done:
+                done()
+            pa.default_memory_pool().release_unused()  # the worker may go on to other work
 
     return df.mapInArrow(each, schema)

@@ -272,9 +272,10 @@ class Transducer:
         # A line end that no piece spells stands alone, so texts share more parts.
         ends = "" if "\n" in alphabet else "\n"
         self.part = re.compile(f"{META}+[^{META}{ends}]*|[^{META}{ends}]+" + (f"|{ends}" if ends else "")) if cuts_at_meta else re.compile("(?s).+")
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drops the kept solutions."""
         self._parts: dict[str, int] = {}
         self._ids, self._ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
 
@@ -392,7 +393,7 @@ class Transducer:
         """(ids of all texts in order, where each text's end)."""
         split = [self.part.findall(self.normaliser.write(t or "")) for t in texts]
         if len(self._parts) > PARTS_KEPT:
-            self._forget()
+            self.forget()
         known = self._parts
         new = [p for p in dict.fromkeys(p for parts in split for p in parts) if p not in known]
         # Parts of like length together, so that long ones don't hold up the short.
@@ -499,7 +500,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path:
             "round_trip": [b == (t or "") for b, t in zip(back, texts)],
         }
 
-    return by_rows(slim, run, "ids array<int>, n_ids long, n_byte_ids long, decoded_sha256 string, round_trip boolean")
+    # A worker that goes on to other work keeps the compiled model, not the solutions.
+    return by_rows(slim, run, "ids array<int>, n_ids long, n_byte_ids long, decoded_sha256 string, round_trip boolean", done=lambda: compiled(model.value).forget())
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", model_path: str = DEFAULT_MODEL) -> DataFrame:
