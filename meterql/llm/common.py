@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -75,6 +76,14 @@ def slices(texts: Sequence[str | None], chars: int = CHARS_AT_ONCE) -> Iterator[
         at = end
 
 
+def release() -> None:
+    """Gives back to the system what Arrow and the C library hold but don't use, where they can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def by_rows(df: DataFrame, run: Callable[..., dict[str, list]], fields: str, chars: int = CHARS_AT_ONCE, done: Callable[[], None] | None = None) -> DataFrame:
     """(first column, fields): run gets the other columns as lists, the first of them text, and returns fields as lists or Arrow arrays.
 
@@ -97,6 +106,6 @@ def by_rows(df: DataFrame, run: Callable[..., dict[str, list]], fields: str, cha
         finally:
             if done:
                 done()
-            pa.default_memory_pool().release_unused()  # the worker may go on to other work
+            release()  # the worker may go on to other work
 
     return df.mapInArrow(each, schema)

@@ -59,7 +59,7 @@ META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-PARTS_KEPT, PAIR_BITS, CHARS_SOLVED = 400_000, 20, 1 << 19
+PARTS_KEPT, PAIR_BITS, CHARS_SOLVED, CHARS_SPLIT = 400_000, 20, 1 << 17, 1 << 20
 #: The label of arcs of characters that no piece spells, and of the start.
 FALLBACK = -1
 _RUNS = re.compile(" +|[^ ]+")
@@ -501,7 +501,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path:
         }
 
     # A worker that goes on to other work keeps the compiled model, not the solutions.
-    return by_rows(slim, run, "ids array<int>, n_ids long, n_byte_ids long, decoded_sha256 string, round_trip boolean", done=lambda: compiled(model.value).forget())
+    return by_rows(slim, run, "ids array<int>, n_ids long, n_byte_ids long, decoded_sha256 string, round_trip boolean", CHARS_SPLIT, done=lambda: compiled(model.value).forget())
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", model_path: str = DEFAULT_MODEL) -> DataFrame:

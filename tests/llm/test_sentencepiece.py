@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import tracemalloc
 import struct
 
 import numpy as np
@@ -106,3 +107,17 @@ def test_rows_and_round_trip(spark):
 
 def test_empty_table(spark):
     assert fst.encode(docs(spark, [])).collect() == []
+
+
+def test_memory_stays_small_over_many_new_parts():
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 9))) for _ in range(60_000))
+    with open(fst.DEFAULT_MODEL, "rb") as f:
+        machine = fst.Transducer(f.read())
+    machine.encode("warm up")
+    tracemalloc.start()
+    try:
+        machine.encode(text)
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
