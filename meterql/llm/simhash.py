@@ -21,11 +21,13 @@ columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,22 +36,32 @@ from pyspark.sql import types as T
 from meterql.llm.common import LOWER, cut, utf8
 
 SEED, SHINGLE, BITS, MAX_BITS, BUCKET_PAIRS, TASK_PRINTS, HOT_ROWS = 42, 3, 64, 2, 128, 1 << 15, 50_000
+#: Edges that a task of the component search takes; fewer are searched in one task, without an exchange.
+TASK_EDGES = 1 << 18
 _HASH = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """The fingerprint as an unsigned integer."""
+def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """The hash of each shingle, repeats included."""
     words = utf8(text).translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
-    ones, total = np.zeros(BITS, np.int64), 0
-    hashes = np.fromiter(map(_HASH, shingles), np.uint64)
+    return np.fromiter(map(_HASH, shingles), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as an unsigned integer."""
+    ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # so that the bits of very long texts never stand in memory at once
         part = hashes[at : at + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        total += len(part)
-    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """The fingerprint as an unsigned integer."""
+    return majority(shingle_hashes(text, width))
 
 
 @F.pandas_udf(T.LongType())
@@ -123,28 +135,105 @@ def _hot_links(members: DataFrame, max_bits: int) -> DataFrame:
     return lists.selectExpr("explode(flatten(transform(all, x -> transform(filter(all, y -> x < y), y -> named_struct('a', x, 'b', y))))) as l").select("l.a", "l.b")
 
 
+def variant_keys(column: str, segments: int) -> Column:
+    """An array of (key, fp) over an array of fingerprints: each one's one-wildcard variants; a key holds the fingerprint's index, the wildcard and the segment."""
+    at = [(first, width, bit) for first, width in _segments(2 * segments - 1) for bit in range(first, first + width)]
+    part = lambda first, width, bit: f"shiftrightunsigned(x & {_long((((1 << width) - 1) << first) & ~(1 << bit))}, {first})"
+    rows = ", ".join(f"named_struct('key', ((i * {BITS} + {bit}) * 4294967296L) + {part(first, width, bit)}, 'fp', x)" for first, width, bit in at)
+    return F.expr(f"flatten(transform({column}, (x, i) -> array({rows})))")
+
+
+def met_in(key: np.ndarray, fp: np.ndarray, node: np.ndarray, segments: int, most: int, window: int, links: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), a < b: nodes that share a key, at most `most` bits apart; rows are sorted by key and fingerprint.
+
+    Each row is held against `window` rows before it and gets up to `links` partners a key. A pair counts under the first
+    wildcard that it meets under only.
+    """
+    fp = fp.view(np.uint64)
+    bit = (key >> 32) % BITS
+    cuts = [(np.uint64(first), np.uint64((1 << width) - 1)) for first, width in _segments(2 * segments - 1)]
+    got, out, at = np.zeros(len(key), np.int64), [], np.arange(len(key))
+    for d in range(1, window + 1):
+        at = at[at >= d]
+        at = at[(key[at] == key[at - d]) & (got[at] < links)]
+        if not len(at):
+            break
+        x = fp[at] ^ fp[at - d]
+        close = np.bitwise_count(x) <= most
+        i, x = at[close], x[close]
+        own_bit, found = np.zeros(len(i), np.int64), np.zeros(len(i), bool)
+        for first, mask in cuts:
+            own = (x >> first) & mask
+            here = ~found & (np.bitwise_count(own) <= 1)
+            low = np.where(own > 0, np.bitwise_count(own - (own > 0)), 0)
+            own_bit[here] = int(first) + low[here].astype(np.int64)
+            found |= here
+        i = i[(own_bit == bit[i]) & (node[i] != node[i - d])]
+        got[i] += 1
+        out.append(np.column_stack([node[i], node[i - d]]))
+    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return pairs.min(1), pairs.max(1)
+
+
+def meetings(prints: DataFrame, most: int, window: int = 512, links: int = 2) -> DataFrame:
+    """(a, b), a < b, of prints (node, fps): nodes of which a fingerprint's segment differs by at most one bit and the whole one by at most `most`.
+
+    There are as many segments (four at most) as leave fewer than `window` fingerprints to a key by chance. Keys are
+    sorted and read as a stream, so a task's memory doesn't follow the size of a group, nor do links follow its square:
+    beyond `links` partners a key and node, or `window` rows, a pair is left to its other keys and to the caller.
+    """
+    n = prints.count()
+    segments = next((k for k in (4, 3) if n >> (BITS // k - 1) < window), 2)
+    rows = prints.select("node", F.explode(variant_keys("fps", segments)).alias("k")).select("k.key", "k.fp", "node")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, False
+        batches = iter(batches)
+        while not last:
+            batch = next(batches, None)
+            last = batch is None
+            if not last:
+                held.append([c.to_numpy() for c in batch.columns])
+                size += len(batch)
+            if held and (last or size >= 1 << 16):
+                key, fp, node = (np.concatenate(x) for x in zip(*held))
+                end = len(key) if last else int(np.searchsorted(key, key[-1]))
+                if not end or len(key) - end > 1 << 17:  # one key's rows: looked at as far as they came, and the last ones again with the next
+                    end, keep = len(key), len(key) - window
+                else:
+                    keep = end
+                a, b = met_in(key[:end], fp[:end], node[:end], segments, most, window, links)
+                held = [[key[keep:], fp[keep:], node[keep:]]]
+                size = len(key) - keep
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = rows.repartition("key").sortWithinPartitions("key", "fp", "node")
+    return cut(dealt.mapInArrow(pairs, "a long, b long").distinct())
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the component's smallest node.
 
     Alternating large-star and small-star steps, each of joins and minima, cut
-    by a checkpoint; only a count and a checksum come to the driver.
+    by a checkpoint; only a count and a checksum come to the driver. Tasks follow
+    the number of edges, so that few edges don't leave files in every partition.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
-    state = None
+    state, tasks = None, -(-edges.count() // TASK_EDGES) or 1
     for _ in range(max_rounds):
-        both = edges.union(edges.select(F.col("v"), F.col("u")))
+        both = edges.union(edges.select(F.col("v"), F.col("u"))).coalesce(tasks)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        edges = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        step = edges.join(low, "u")
-        edges = cut(step.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
+        step = edges.join(low.hint("merge"), "u").coalesce(tasks)
+        edges = cut(step.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").coalesce(tasks).distinct())
 
 
 def _rooted(marked: DataFrame, max_bits: int, bucket_pairs: int) -> DataFrame:

@@ -104,3 +104,23 @@ def test_hot_fingerprints_go_by_broadcast(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
+
+
+def test_few_edges_are_searched_in_one_task(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long").repartition(16)
+    found = simhash.components(edges)
+    assert {r.root for r in found.collect()} == {0} and found.rdd.getNumPartitions() <= 2
+
+
+def test_meetings_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    prints = []
+    for flips in [*range(14)] * 12:
+        p = rng.getrandbits(64)
+        prints += [p, p ^ sum(1 << b for b in rng.sample(range(64), flips))]
+    ones = lambda x: bin(x).count("1")
+    meet = lambda x: ones(x) <= 12 and any(ones(x >> at & 0xFFFF) <= 1 for at in range(0, 64, 16))
+    want = {(i, j) for j in range(len(prints)) for i in range(j) if meet(prints[i] ^ prints[j])}
+    frame = spark.createDataFrame([(i, [p - (1 << 64) if p >> 63 else p]) for i, p in enumerate(prints)], "node long, fps array<long>")
+    assert set(map(tuple, simhash.meetings(frame, 12).collect())) == want
+    assert all((i, i + 1) in want for i in range(0, len(prints), 2) if ones(prints[i] ^ prints[i + 1]) <= 7)
