@@ -84,6 +84,17 @@ def release() -> None:
         trim(0)
 
 
+def release_heaps(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect their garbage, so that heap which one stage filled goes back to the system before the next.
+
+    Else a heap stays as large as it ever was, beside the Python workers of later stages. There is a task a core, as free
+    executors share them; rows and results don't depend on where they run.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    collect = F.expr("java_method('java.lang.System', 'gc')")
+    spark.range(0, cores, 1, cores).select(collect.alias("none")).write.format("noop").mode("overwrite").save()
+
+
 def by_rows(df: DataFrame, run: Callable[..., dict[str, list]], fields: str, chars: int = CHARS_AT_ONCE, done: Callable[[], None] | None = None) -> DataFrame:
     """(first column, fields): run gets the other columns as lists, the first of them text, and returns fields as lists or Arrow arrays.
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterql.llm.common import by_rows, slices, utf8
+from meterql.llm.common import by_rows, release, slices, utf8
 from meterql.llm.fm_index import FMIndex
 
 WINDOW, SHARD_WORDS, BLOCK_WORDS = 10, 1 << 20, 1 << 20
@@ -156,7 +156,9 @@ def clean_only(docs: DataFrame, benchmark: DataFrame, text: str = "text", **opti
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
         texts = texts.tolist()
-        return pd.Series([not len(s) for a, b in slices(texts) for _, s, _ in scan(texts[a:b], blocks)])
+        out = pd.Series([not len(s) for a, b in slices(texts) for _, s, _ in scan(texts[a:b], blocks)])
+        release()
+        return out
 
     return docs.where(clean(F.col(text).cast("string")))
 

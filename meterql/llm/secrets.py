@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterql.llm.common import by_rows
+from meterql.llm.common import by_rows, release
 
 LABELLED, TREES, DEPTH, LEAF, THRESHOLD = 8000, 40, 10, 4, 0.5
 WORDS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -339,7 +339,9 @@ def redact(docs: DataFrame, text: str = "text", path: str | None = "source", siz
     @F.pandas_udf("string")
     def masked(texts: pd.Series, paths: pd.Series) -> pd.Series:
         found = scan(texts, paths, model.value)
-        return pd.Series([None if t is None else redacted(t, [x[:2] for x in own if x[3] >= threshold]) for t, own in zip(texts, found)], dtype=object)
+        out = pd.Series([None if t is None else redacted(t, [x[:2] for x in own if x[3] >= threshold]) for t, own in zip(texts, found)], dtype=object)
+        release()
+        return out
 
     # The caller's columns stand in a struct meanwhile, so that none can clash.
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -68,3 +68,14 @@ def test_a_repeated_row_stays_once(spark, tables):
     folder, texts, _, ids = tables
     frame = docs(spark, [texts[5], texts[5], texts[6]], [9, 9, 4])
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, folder).collect()) == [4, 9]
+
+
+def test_each_stage_begins_with_collected_heaps(spark, tables):
+    folder, *_ = tables
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    for _, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, frame.limit(0), folder)
+        assert full() > before
