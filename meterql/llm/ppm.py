@@ -31,12 +31,17 @@ Defined edge cases: a null text is empty, has one token (its end) and a score;
 A-Z are lower-cased for words and bytes alike; repeated rows count and are
 scored row by row; a null doc_id trains like an empty one's remainder says;
 without training documents every symbol is equally likely.
+
+An executor's memory holds its JVM's heap beside its Python workers. So each
+written stage begins by having the heaps collected, a worker keeps of a chunk
+only what it has yet to send, and gives back what it no longer uses.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterql.llm.chunks import BLOCK_WORDS, CHUNK_CHARS, n_blocks, packed, unpack
-from meterql.llm.common import LOWER, crc_mod, cut, slices, utf8
+from meterql.llm.common import LOWER, crc_mod, cut, release, release_heaps, slices, utf8
 
 ORDER, SHARE = 5, 1 << 62  # a context is kept from one in `SHARE` of all symbols: all are
 NEAR = 2  # last symbols of a context by which its grams are gathered
@@ -194,6 +199,36 @@ class PretrainedModel:
         return np.bincount(owner, total, len(sizes))
 
 
+def _released[T](result: T) -> T:
+    """The result, once what its making has left unused is given back."""
+    release()
+    return result
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df cut, its stages beginning with collected heaps."""
+    release_heaps(df.sparkSession)
+    return cut(df)
+
+
+def _piece_counts(texts: list[str | None], train: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    grams, sizes = gram_stream(texts, order)
+    return distinct_counts(grams, np.repeat(train, sizes))
+
+
+def _added(keys: np.ndarray, counts: np.ndarray, data: bytes, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order and their counts, with those of a packed chunk added."""
+    rows = unpack(data)
+    texts, train = rows["text"].tolist(), rows["train"].to_numpy(np.int64)
+    found = [(keys, counts), *(_piece_counts(texts[a:b], train[a:b], order) for a, b in slices(texts, PIECE_CHARS))]
+    every, n = np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])
+    del rows, texts, found
+    by = np.argsort(every, kind="stable")
+    every, n = every[by], n[by]
+    first = np.flatnonzero(np.diff(every, prepend=-1))
+    return every[first], np.add.reduceat(n, first) if len(first) else counts
+
+
 def gram_counts(chunks: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, n) of all rows of packed chunks, n counted in training rows only; each task adds up before it sends."""
 
@@ -201,19 +236,13 @@ def gram_counts(chunks: DataFrame, order: int = ORDER) -> DataFrame:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for part in parts:
             for data in part["data"]:
-                rows = unpack(data)
-                texts, train, found = rows["text"].tolist(), rows["train"].to_numpy(np.int64), [(keys, counts)]
-                for a, b in slices(texts, PIECE_CHARS):
-                    new, sizes = gram_stream(texts[a:b], order)
-                    found.append(distinct_counts(new, np.repeat(train[a:b], sizes)))
-                every, n = np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])
-                by = np.argsort(every, kind="stable")
-                first = np.flatnonzero(np.diff(every[by], prepend=-1))
-                keys, counts = every[by][first], np.add.reduceat(n[by], first) if len(first) else counts
+                keys, counts = _released(_added(keys, counts, data, order))
                 if len(keys) > GRAMS_HELD:
                     yield pd.DataFrame({"gram": keys, "n": counts})
-                    keys, counts = keys[:0], counts[:0]
+                    keys, counts = keys[:0].copy(), counts[:0].copy()  # a view would keep what was sent
         yield pd.DataFrame({"gram": keys, "n": counts})
+        del keys, counts
+        release()  # the worker may go on to other work
 
     return chunks.select("data").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -267,9 +296,9 @@ def _short_index(grams: np.ndarray, k: int) -> np.ndarray:
     return at
 
 
-def cost_table(chunks: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, cost) of every gram in the chunks' texts, learnt from all training rows."""
-    full, near = cut(gram_counts(chunks, order)), min(order, NEAR)
+def cost_table(chunks: DataFrame, order: int = ORDER, blocks: int = 1) -> DataFrame:
+    """(gram, cost, block) of every gram in the chunks' texts, learnt from all training rows."""
+    full, near = _written(gram_counts(chunks, order)), min(order, NEAR)
     short = []
     for k in range(near):
         table = np.zeros(SYMBOLS ** (k + 1), np.int64)
@@ -279,12 +308,12 @@ def cost_table(chunks: DataFrame, order: int = ORDER) -> DataFrame:
 
     def costs(part: pd.DataFrame) -> pd.DataFrame:
         grams = part["gram"].to_numpy()
-        return pd.DataFrame({"gram": grams, "cost": gram_costs(grams, part["n"].to_numpy(), order, short).astype(np.float32)})
+        return pd.DataFrame({"gram": grams, "cost": gram_costs(grams, part["n"].to_numpy(), order, short).astype(np.float32), "block": _gram_block(grams, blocks)})
 
     # Grams that end their contexts alike stay together; groups of them hold some `GROUP_GRAMS`.
     ending = F.xxhash64(F.shiftright("gram", WIDTH).bitwiseAND(F.lit((1 << WIDTH * near) - 1)))
     groups = max(1, -(-full.count() // GROUP_GRAMS))
-    return full.groupBy(F.pmod(ending, F.lit(groups)).alias("ending")).applyInPandas(costs, "gram long, cost float")
+    return full.groupBy(F.pmod(ending, F.lit(groups)).alias("ending")).applyInPandas(lambda part: _released(costs(part)), "gram long, cost float, block long")
 
 
 def _gram_block(grams: np.ndarray, blocks: int) -> np.ndarray:
@@ -299,20 +328,20 @@ def _by_block(grams: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_answers(chunks: DataFrame, table: DataFrame, order: int, blocks: int) -> DataFrame:
-    """(chunk, block, costs): the costs of each chunk's distinct grams, in the order in which it asks."""
+    """(chunk, block, costs): the costs of each chunk's distinct grams, in the order in which it asks; table has them by block."""
+
+    def question(chunk: int, data: bytes) -> pd.DataFrame:
+        keys = distinct_grams(unpack(data)["text"].tolist(), order)
+        by, block = _by_block(keys, blocks)
+        keys = keys[by]
+        edges = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
+        return pd.DataFrame([(chunk, int(block[a]), keys[a:b].tobytes()) for a, b in zip(edges, [*edges[1:], len(block)])], columns=["chunk", "block", "grams"])
 
     def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for chunk, data in zip(part["chunk"], part["data"]):
-                keys = distinct_grams(unpack(data)["text"].tolist(), order)
-                by, block = _by_block(keys, blocks)
-                keys = keys[by]
-                edges = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
-                yield pd.DataFrame([(chunk, int(block[a]), keys[a:b].tobytes()) for a, b in zip(edges, [*edges[1:], len(block)])], columns=["chunk", "block", "grams"])
-
-    def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part.assign(block=_gram_block(part["gram"].to_numpy(), blocks))
+                yield _released(question(chunk, data))
+        release()
 
     def answer(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         given = given.sort_values("gram")
@@ -320,8 +349,8 @@ def gram_answers(chunks: DataFrame, table: DataFrame, order: int, blocks: int) -
         return pd.DataFrame({"chunk": asked["chunk"], "block": asked["block"], "costs": [costs[np.searchsorted(keys, np.frombuffer(g, np.int64))].tobytes() for g in asked["grams"]]})
 
     sent = chunks.select("chunk", "data").mapInPandas(send, "chunk long, block long, grams binary")
-    there = table.mapInPandas(placed, "gram long, cost float, block long")
-    return cut(sent.groupBy("block").cogroup(there.groupBy("block")).applyInPandas(answer, "chunk long, block long, costs binary"))
+    both = sent.groupBy("block").cogroup(table.groupBy("block"))
+    return _written(both.applyInPandas(lambda asked, given: _released(answer(asked, given)), "chunk long, block long, costs binary"))
 
 
 class _Numbers(dict):
@@ -336,11 +365,17 @@ class _Vocabulary:
     """The distinct tokens of a chunk; the empty word is the end token."""
 
     def __init__(self, texts: Iterable[str | None], blocks: int) -> None:
-        words, number = [utf8(t).translate(LOWER).split() for t in texts], _Numbers()
-        self.sizes = np.array([len(w) + 1 for w in words], np.int64)
-        for w in words:
-            w.append(b"")
-        self.ids = np.fromiter((i for w in words for i in map(number.__getitem__, w)), np.int64, int(self.sizes.sum()))
+        number, sizes = _Numbers(), []
+
+        def tokens(text: str | None) -> list[bytes]:
+            found = utf8(text).translate(LOWER).split()
+            found.append(b"")
+            sizes.append(len(found))
+            return found
+
+        # One text's words stand as objects at a time.
+        self.ids = np.fromiter(map(number.__getitem__, chain.from_iterable(map(tokens, texts))), np.int64)
+        self.sizes = np.array(sizes, np.int64)
         digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), ">u8").reshape(-1, 2).astype(np.uint64)
         block = (digests[:, 0] % np.uint64(blocks)).astype(np.int64)
         self.order = np.lexsort((digests[:, 1], block))
@@ -355,14 +390,18 @@ class _Vocabulary:
 def word_answers(chunks: DataFrame, blocks: int) -> DataFrame:
     """(chunk, block, counts, n_tokens, n_words): training counts of each chunk's words in hash order; each block's totals are on one row."""
 
+    def question(chunk: int, data: bytes) -> pd.DataFrame:
+        rows = unpack(data)
+        own = _Vocabulary(rows["text"], blocks)
+        trains = np.repeat(rows["train"].to_numpy(bool), own.sizes)
+        n = np.bincount(own.ids[trains], minlength=len(own.order))[own.order].astype(np.uint32)
+        return pd.DataFrame([(chunk, block, own.value[a:b].tobytes(), n[a:b].tobytes()) for block, a, b in own.by_block()], columns=["chunk", "block", "words", "n"])
+
     def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for chunk, data in zip(part["chunk"], part["data"]):
-                rows = unpack(data)
-                own = _Vocabulary(rows["text"], blocks)
-                trains = np.repeat(rows["train"].to_numpy(bool), own.sizes)
-                n = np.bincount(own.ids[trains], minlength=len(own.order))[own.order].astype(np.uint32)
-                yield pd.DataFrame([(chunk, block, own.value[a:b].tobytes(), n[a:b].tobytes()) for block, a, b in own.by_block()], columns=["chunk", "block", "words", "n"])
+                yield _released(question(chunk, data))
+        release()
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
         values = [np.frombuffer(x, np.uint64) for x in part["words"]]
@@ -375,7 +414,34 @@ def word_answers(chunks: DataFrame, blocks: int) -> DataFrame:
                              "wide": kind is np.int64, "n_tokens": np.where(first, sums.sum(), 0), "n_words": np.where(first, (sums > 0).sum(), 0)})
 
     sent = chunks.select("chunk", "data").mapInPandas(send, "chunk long, block long, words binary, n binary")
-    return cut(sent.groupBy("block").applyInPandas(answer, "chunk long, block long, counts binary, wide boolean, n_tokens long, n_words long"))
+    return _written(sent.groupBy("block").applyInPandas(lambda part: _released(answer(part)), "chunk long, block long, counts binary, wide boolean, n_tokens long, n_words long"))
+
+
+def _word_scores(texts: list[str | None], given: dict[int, np.ndarray], blocks: int, whole: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, known tokens, base score) of each text; given: the counts of a chunk's words by block."""
+    words = _Vocabulary(texts, blocks)
+    counts = np.zeros(len(words.order), np.int64)
+    for block, a, b in words.by_block():
+        counts[words.order[a:b]] = given[block]
+    starts = np.cumsum(words.sizes) - words.sizes
+    logs = np.log10((counts + 1) / whole)
+    return words.sizes, np.add.reduceat((counts > 0)[words.ids].astype(np.int64), starts), np.add.reduceat(logs[words.ids], starts)
+
+
+def _gram_scores(texts: list[str | None], given: dict[int, np.ndarray], order: int, blocks: int) -> np.ndarray:
+    """The model's log10 probability of each text; given: the costs of a chunk's grams by block."""
+    keys = distinct_grams(texts, order)
+    by, asked = _by_block(keys, blocks)
+    table = np.empty(len(keys))
+    table[by] = np.concatenate([given[b] for b in np.unique(asked).tolist()])
+    del by, asked
+
+    def piece(some: list[str | None]) -> np.ndarray:
+        stream, sizes = gram_stream(some, order)
+        at, own = pd.factorize(stream)
+        return np.add.reduceat(table[np.searchsorted(keys, own)][at], np.cumsum(sizes) - sizes)
+
+    return np.concatenate([piece(texts[a:b]) for a, b in slices(texts, PIECE_CHARS)])
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = HELD_OUT_MODULUS, remainder: int = HELD_OUT_REMAINDER,
@@ -383,12 +449,13 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: in
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) per row, learnt from the rows that aren't held out."""
     slim = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), (crc_mod(key, modulus) != remainder).alias("train"))
     kind = slim.schema["key"].dataType.simpleString()
+    release_heaps(docs.sparkSession)
     chunks = packed(slim, chunk_chars)
     blocks = n_blocks(chunks, block_words)
     answers = word_answers(chunks, blocks)
     n_tokens, n_words = (x or 0 for x in answers.agg(F.sum("n_tokens"), F.sum("n_words")).first())
     # One table of both answers: those of words are blocks from 0, those of grams lie below.
-    costs = gram_answers(chunks, cost_table(chunks, order), order, blocks)
+    costs = gram_answers(chunks, cost_table(chunks, order, blocks), order, blocks)
     answers = answers.select("chunk", "block", "counts", "wide").unionByName(costs.select("chunk", (-1 - F.col("block")).alias("block"), F.col("costs").alias("counts"), F.lit(False).alias("wide")))
 
     def judge(own: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
@@ -398,26 +465,14 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: in
         given = {b: np.frombuffer(x, np.int64 if wide else np.uint32).astype(np.int64) for b, x, wide in zip(answered["block"], answered["counts"], answered["wide"])}
         for data in own["data"]:
             rows = unpack(data)
-            words = _Vocabulary(rows["text"], blocks)
-            counts = np.zeros(len(words.order), np.int64)
-            for block, a, b in words.by_block():
-                counts[words.order[a:b]] = given[block]
-            starts = np.cumsum(words.sizes) - words.sizes
-            logs = np.log10((counts + 1) / (n_tokens + n_words + 1))[words.ids]
-            texts = rows["text"].tolist()
-            keys = distinct_grams(texts, order)
-            by, asked = _by_block(keys, blocks)
-            table, scored = np.empty(len(keys)), []
-            table[by] = np.concatenate([of_grams[b] for b in np.unique(asked).tolist()])
-            for a, b in slices(texts, PIECE_CHARS):
-                stream, sizes = gram_stream(texts[a:b], order)
-                at, own = pd.factorize(stream)
-                scored.append(np.add.reduceat(table[np.searchsorted(keys, own)][at], np.cumsum(sizes) - sizes))
+            texts = rows.pop("text").tolist()
+            sizes, known, base = _word_scores(texts, given, blocks, n_tokens + n_words + 1)
             out.append(pd.DataFrame({
-                key: rows["key"], "held_out": ~rows["train"].to_numpy(bool), "n_tokens": words.sizes, "n_known": np.add.reduceat((counts > 0)[words.ids].astype(np.int64), starts),
-                "train_tokens": n_tokens, "base_score": np.add.reduceat(logs, starts), "score": np.concatenate(scored),
+                key: rows["key"], "held_out": ~rows["train"].to_numpy(bool), "n_tokens": sizes, "n_known": known,
+                "train_tokens": n_tokens, "base_score": base, "score": _gram_scores(texts, of_grams, order, blocks),
             }))
         return pd.concat(out) if out else pd.DataFrame(columns=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
+    release_heaps(docs.sparkSession)
     return chunks.select("chunk", "data").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
-        judge, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        lambda own, answered: _released(judge(own, answered)), f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

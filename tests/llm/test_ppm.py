@@ -1,12 +1,15 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
-from meterql.llm import ppm
+from meterql.llm import chunks, ppm
 from tests.llm.helpers import docs
 
 
@@ -122,3 +125,56 @@ def test_distinct_counts_against_a_plain_count():
         want[g] += t
     got = ppm.distinct_counts(np.array(grams), np.array(train))
     assert list(zip(got[0].tolist(), got[1].tolist())) == sorted(want.items()) and len(ppm.distinct_counts(np.zeros(0, np.int64), np.zeros(0, np.int64))[0]) == 0
+
+
+def test_each_written_stage_begins_with_collected_heaps(spark, monkeypatch):
+    said = []
+    for name in ("release_heaps", "packed", "cut"):
+        monkeypatch.setattr(ppm, name, lambda *a, name=name, f=getattr(ppm, name): (said.append(name), f(*a))[1])
+    rows = ppm.scores(docs(spark, ["a b", "b c"]))
+    assert said == ["release_heaps", "packed", *["release_heaps", "cut"] * 3, "release_heaps"]
+    assert len(rows.collect()) == 2
+
+
+def test_a_counting_task_holds_no_chunk_when_it_sends(spark):
+    class Chunks:
+        def mapInPandas(self, run, _):
+            self.run = run
+            return self
+
+        select = groupBy = agg = lambda self, *_: self
+
+    found = ["ab " * 400_000] * 3
+    data = chunks._pack(pa.record_batch({"key": list(range(3)), "text": found, "train": [True, False, True]}))
+    run = ppm.gram_counts(Chunks()).run
+    list(run(iter([pd.DataFrame({"data": [data]})])))
+    tracemalloc.start()
+    try:
+        sent = next(out := run(iter([pd.DataFrame({"data": [data]})])))
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert sent["n"].sum() == 2 * (len(found[0]) + 1) and list(out) == []
+    assert held < 1 << 20  # the packed texts have 3.6 million characters
+
+
+def test_words_stand_as_objects_one_text_at_a_time():
+    rng = random.Random(1)
+    found = [" ".join(f"W{rng.randrange(500)}" for _ in range(1000)) for _ in range(200)] + [None, ""]
+    tracemalloc.start()
+    try:
+        own = ppm._Vocabulary(found, 3)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert own.sizes.tolist() == [1001] * 200 + [1, 1] and len(own.ids) == 200_202 and len(own.order) == 501
+    assert most < 30 * len(own.ids)
+
+
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_costs_come_with_their_block(spark, blocks):
+    data = ppm.packed(docs(spark, texts()).selectExpr("doc_id AS key", "text", "true AS train"))
+    got = ppm.cost_table(data, 3, blocks)
+    assert got._jdf.queryExecution().executedPlan().toString().count("InPandas") == 1  # one worker a task
+    rows = got.toPandas()
+    assert len(rows) and rows["block"].tolist() == ppm._gram_block(rows["gram"].to_numpy(), blocks).tolist()
